@@ -58,15 +58,16 @@ def density_core_points(points: DataFrame, eps: float, min_points: int = 10) ->
     ``neighbours`` counts the points within ``eps`` up to ``min_points``, which
     is as far as being core depends on it.
     """
+    n_points = points.count()
     placed = _with_cells(points, eps)
     cells = placed.groupBy("cx", "cy").agg(F.count("*").alias("n"))
-    counted = materialize(join_totals(placed, cells, ["cx", "cy"], ["n"]), "cells")
+    counted = materialize(join_totals(placed, cells, ["cx", "cy"], ["n"], n_rows=n_points), "cells")
 
     crowded = counted.where(F.col("n") >= min_points)
     thin = counted.where(F.col("n") < min_points)
     # The points of a hot cell are cut into slices and a probe goes to each slice.
     hot = F.broadcast(
-        hot_groups(cells, counted, ["cx", "cy"]).withColumnsRenamed({"cx": "tx", "cy": "ty"})
+        hot_groups(cells, F.lit(n_points), ["cx", "cy"]).withColumnsRenamed({"cx": "tx", "cy": "ty"})
     )
     targets = (
         counted.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("id_client").alias("_q"))
@@ -171,27 +172,30 @@ def _components(edges: DataFrame) -> DataFrame:
     by ``join_totals``.
     """
 
-    def with_least(neighbours: DataFrame) -> DataFrame:
+    def with_least(neighbours: DataFrame, n_rows: int) -> DataFrame:
         least = neighbours.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
-        return join_totals(neighbours, least, ["u"], ["m"]).withColumn("m", F.least("u", "m"))
+        joined = join_totals(neighbours, least, ["u"], ["m"], n_rows=n_rows)
+        return joined.withColumn("m", F.least("u", "m"))
+
+    def all_stars(links: DataFrame) -> bool:
+        """Every node is a centre, or has exactly one link, to a centre."""
+        upper = links.select(F.col("u").alias("node"), F.lit(True).alias("is_upper"))
+        lower = links.select(F.col("v").alias("node"), F.lit(False).alias("is_upper"))
+        ends = upper.unionAll(lower).groupBy("node")
+        ends = ends.agg(F.count_if("is_upper").alias("up"), F.count_if(~F.col("is_upper")).alias("down"))
+        return ends.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
     current = materialize(edges.distinct(), "edges")
-    signature = None
-    while True:
+    while not all_stars(current):
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct(), "edges")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        starred = with_least(down)
+        large = with_least(both, 2 * current.count()).where(F.col("v") > F.col("u"))
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "edges")
+        starred = with_least(large, large.count())
         small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
             starred.select("u", F.col("m").alias("v"))
         )
         current = materialize(small.where("u <> v").distinct(), "edges")
-        # addition wraps inside the hash range, so the order of rows is no matter
-        row = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if (row[0], row[1]) == signature:
-            break
-        signature = (row[0], row[1])
     roots = current.select(F.col("v").alias("node")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         roots.select("node", F.col("node").alias("component"))
@@ -223,7 +227,7 @@ def density_clusters(
     cell_labels = members.join(numbered.select("component", "label"), "component", "left").select(
         "cx", "cy", "n", F.col("label").cast("int").alias("cell_label")
     )
-    labelled = join_totals(found, cell_labels, ["cx", "cy"], ["cell_label"])
+    labelled = join_totals(found, cell_labels, ["cx", "cy"], ["cell_label"], n_rows=found.count())
     label = F.when(F.col("is_core"), F.coalesce("cell_label", F.lit(NOISE))).otherwise(NOISE)
     return labelled.select("id_client", "x", "y", label.alias("label"))
 

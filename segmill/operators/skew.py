@@ -4,26 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A group is hot once it holds more than 1/SLICES of all rows, so there are
 # fewer than SLICES hot groups whatever the data: that bounds the broadcast.
 SLICES = 10_000
+# A task takes this many rows without trouble, even if they are one group.
+ONE_TASK_ROWS = 1_000_000
 
 
-def hot_groups(totals: DataFrame, rows: DataFrame, keys: Sequence[str], count: str = "n") -> DataFrame:
-    """Keys of the hot groups and into how many slices each one is cut.
-
-    A slice holds about 1/SLICES of all rows, so the slices of all hot groups
-    together are at most 2 * SLICES.
-    """
-    whole = rows.agg(F.count("*")).scalar()
+def _slices(count: str, whole: Column) -> Column:
+    """How many slices a group is cut into, each about 1/SLICES of all rows; null if not hot."""
     share = F.col(count) * F.lit(SLICES)
-    return totals.where(share > whole).select(*keys, F.ceil(share / whole).cast("int").alias("_slices"))
+    return F.when(share > whole, F.ceil(share / whole).cast("int"))
+
+
+def hot_groups(totals: DataFrame, whole: Column, keys: Sequence[str], count: str = "n") -> DataFrame:
+    """Keys of the hot groups and their ``_slices``, at most 2 * SLICES of these in all."""
+    return totals.select(*keys, _slices(count, whole).alias("_slices")).where(F.col("_slices").isNotNull())
 
 
-def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]):
+def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     condition = F.lit(True)
     for key in keys:
         condition = condition & left[key].eqNullSafe(right[f"_r_{key}"])
@@ -40,6 +42,7 @@ def join_totals(
     keys: Sequence[str],
     values: Sequence[str],
     count: str = "n",
+    n_rows: int | None = None,
 ) -> DataFrame:
     """``rows`` plus the ``values`` of their group in ``totals`` (one row per group).
 
@@ -48,23 +51,28 @@ def join_totals(
     totals is repeated per slice. The slice comes from the row's content and
     from its input partition, so exact copies spread as well, and a retried
     task puts every row where it was before.
+
+    ``n_rows``, when the caller has counted, spares the slicing of a small
+    input and the count of a large one.
     """
-    hot = _as_right(hot_groups(totals, rows, keys, count), keys)
-    scattered = F.xxhash64(*[F.col(c) for c in rows.columns]) + F.spark_partition_id()
+    columns = rows.columns
+    if n_rows is not None and n_rows <= ONE_TASK_ROWS:
+        right = _as_right(totals.select(*keys, *values), keys)
+        return rows.join(right, _match(rows, right, keys), "left").select(*columns, *values)
+
+    whole = F.lit(n_rows) if n_rows is not None else rows.agg(F.count("*")).scalar()
+    hot = _as_right(hot_groups(totals, whole, keys, count), keys)
+    scattered = F.xxhash64(*[F.col(c) for c in columns]) + F.spark_partition_id()
     left = rows.withColumn("_scatter", F.pmod(scattered, F.lit(2**31 - 1)))
     left = left.join(F.broadcast(hot), _match(left, hot, keys), "left")
     left = left.select(
-        *rows.columns,
+        *columns,
         F.when(F.col("_slices").isNull(), 0).otherwise(F.col("_scatter") % F.col("_slices")).cast("int").alias("_slice"),
     )
-
-    whole = rows.agg(F.count("*")).scalar()
-    share = F.col(count) * F.lit(SLICES)
-    slices = F.when(share > whole, F.ceil(share / whole).cast("int")).otherwise(1)
     right = totals.select(
         *[F.col(key).alias(f"_r_{key}") for key in keys],
         *values,
-        F.explode(F.sequence(F.lit(0), slices - 1)).alias("_r_slice"),
+        F.explode(F.sequence(F.lit(0), F.coalesce(_slices(count, whole), F.lit(1)) - 1)).alias("_r_slice"),
     )
     condition = _match(left, right, keys) & (left["_slice"] == right["_r_slice"])
-    return left.join(right, condition, "left").select(*[left[c] for c in rows.columns], *values)
+    return left.join(right, condition, "left").select(*[left[c] for c in columns], *values)
