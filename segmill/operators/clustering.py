@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -18,21 +20,22 @@ CENTRES_SCHEMA = "cluster int, center array<double>, weight double"
 
 
 def nearest_centre(features: Column, centres: Centres) -> Column:
-    """Index of the nearest centre of an ``array<double>`` column, the lowest on a tie."""
+    """Index of the nearest centre of an ``array<double>`` column, the lowest on a tie.
 
-    def squared(point: Column, centre: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(point, centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v
-        )
+    On whole Arrow batches: several times faster than array expressions, which
+    Spark evaluates row by row outside its generated code.
+    """
+    table = np.asarray(centres, dtype="float64")
 
-    distances = [
-        F.struct(
-            squared(features, F.lit([float(v) for v in centre])).alias("distance"),
-            F.lit(i).alias("cluster"),
-        )
-        for i, centre in enumerate(centres)
-    ]
-    return F.array_min(F.array(*distances))["cluster"]
+    @F.pandas_udf("int")
+    def nearest(points: pd.Series) -> pd.Series:
+        if points.empty:
+            return pd.Series([], dtype="int32")
+        rows = np.stack(points.to_numpy())
+        distances = np.stack([((rows - centre) ** 2).sum(axis=1) for centre in table], axis=1)
+        return pd.Series(distances.argmin(axis=1).astype("int32"))
+
+    return nearest(features)
 
 
 def with_labels(matrix: DataFrame, centres: Centres, into: str = "label") -> DataFrame:
@@ -68,8 +71,16 @@ def kmeans_fit(matrix: DataFrame, k: int = 3, seed: int = 42) -> list[list[float
     return [centres[i].tolist() for i in _size_order(model)]
 
 
+def kmeans_labels(matrix: DataFrame, k: int = 3, seed: int = 42, into: str = "label") -> DataFrame:
+    """``matrix`` with the cluster of a full k-means, numbered by size."""
+    model = _fit(matrix, k, seed)
+    order = _size_order(model)
+    numbers = F.array(*[F.lit(order.index(i)) for i in range(len(order))])
+    return model.transform(matrix).withColumn(into, numbers[F.col("_raw")]).drop("_raw")
+
+
 def kmeans_fit_predict(matrix: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    return assign_clusters(matrix, kmeans_fit(matrix, k, seed))
+    return kmeans_labels(matrix, k, seed, "cluster").select("id_client", "cluster")
 
 
 def kmeans_elbow(

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmill.operators.ids import assign_dense_id
-from segmill.operators.skew import hot_groups, join_totals
+from segmill.operators.skew import SLICES, is_hot, join_totals
 from segmill.session import materialize
 
 NOISE = -1
@@ -65,9 +65,13 @@ def density_core_points(points: DataFrame, eps: float, min_points: int = 10) ->
 
     crowded = counted.where(F.col("n") >= min_points)
     thin = counted.where(F.col("n") < min_points)
-    # The points of a hot cell are cut into slices and a probe goes to each slice.
+    # The points of a hot cell are cut into slices, each about 1/SLICES of all
+    # points, and a probe goes to each slice: at most 2 * SLICES slices in all.
+    slices = F.ceil(F.col("n") * SLICES / n_points).cast("int").alias("_slices")
     hot = F.broadcast(
-        hot_groups(cells, F.lit(n_points), ["cx", "cy"]).withColumnsRenamed({"cx": "tx", "cy": "ty"})
+        cells.where(is_hot(F.lit(n_points)) & (F.col("n") >= min_points)).select(
+            F.col("cx").alias("tx"), F.col("cy").alias("ty"), slices
+        )
     )
     targets = (
         counted.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("id_client").alias("_q"))

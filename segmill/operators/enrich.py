@@ -49,22 +49,20 @@ def with_value_counts(
         "hour_count": "hour",
         "weekday_count": "weekday",
     }
-    values = F.explode(
-        F.array(*[F.struct(F.lit(name).alias("of"), F.col(c).cast("string").alias("value")) for name, c in counted.items()])
-    )
-    per_value = rows.select("user_id", values.alias("v")).groupBy("user_id", "v").agg(F.count("*").alias("n"))
+    values = {name: F.coalesce(F.col(c).cast("string"), F.lit("")) for name, c in counted.items()}
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("of"), v.alias("value")) for name, v in values.items()]))
+    per_value = rows.select("user_id", pairs.alias("v")).groupBy("user_id", "v.of", "v.value").agg(F.count("*").alias("n"))
     per_user = per_value.groupBy("user_id").agg(
         # every event adds one to each of the four counts
         (F.sum("n") / len(counted)).cast("long").alias("n"),
-        F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("_counts"),
+        *[
+            F.map_from_entries(F.collect_list(F.when(F.col("of") == name, F.struct("value", "n")))).alias(f"_{name}")
+            for name in values
+        ],
     )
-    joined = join_totals(rows, per_user, ["user_id"], ["_counts"])
-    return joined.withColumns(
-        {
-            name: F.element_at("_counts", F.struct(F.lit(name).alias("of"), F.col(c).cast("string").alias("value")))
-            for name, c in counted.items()
-        }
-    ).drop("_counts")
+    joined = join_totals(rows, per_user, ["user_id"], [f"_{name}" for name in values])
+    found = {name: F.element_at(f"_{name}", v) for name, v in values.items()}
+    return joined.withColumns(found).drop(*[f"_{name}" for name in values])
 
 
 def with_product_totals(events: DataFrame) -> DataFrame:

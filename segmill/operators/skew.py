@@ -14,26 +14,19 @@ SLICES = 10_000
 ONE_TASK_ROWS = 1_000_000
 
 
-def _slices(count: str, whole: Column) -> Column:
-    """How many slices a group is cut into, each about 1/SLICES of all rows; null if not hot."""
-    share = F.col(count) * F.lit(SLICES)
-    return F.when(share > whole, F.ceil(share / whole).cast("int"))
+def is_hot(whole: Column, count: str = "n") -> Column:
+    return F.col(count) * F.lit(SLICES) > whole
 
 
-def hot_groups(totals: DataFrame, whole: Column, keys: Sequence[str], count: str = "n") -> DataFrame:
-    """Keys of the hot groups and their ``_slices``, at most 2 * SLICES of these in all."""
-    return totals.select(*keys, _slices(count, whole).alias("_slices")).where(F.col("_slices").isNotNull())
-
-
-def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
     condition = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(right[f"_r_{key}"])
+        condition = condition & left[key].eqNullSafe(right[prefix + key])
     return condition
 
 
-def _as_right(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.withColumnsRenamed({key: f"_r_{key}" for key in keys})
+def _prefixed(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(prefix + c) for c in columns])
 
 
 def join_totals(
@@ -44,35 +37,38 @@ def join_totals(
     count: str = "n",
     n_rows: int | None = None,
 ) -> DataFrame:
-    """``rows`` plus the ``values`` of their group in ``totals`` (one row per group).
+    """``rows`` plus the ``values`` of their group in ``totals`` (one row per group, its size in ``count``).
 
-    Same result as a whole-partition window. A window holds a group in one
-    task; here the rows of a hot group are cut into slices and its one row of
-    totals is repeated per slice. The slice comes from the row's content and
-    from its input partition, so exact copies spread as well, and a retried
-    task puts every row where it was before.
+    Same result as a whole-partition window, which would hold a group in one
+    task. Here the few hot groups are broadcast and all others come through a
+    shuffle join. In that shuffle the rows of hot groups, which need nothing
+    from it, go to tasks by a scatter number. It comes from the row's content
+    and its input partition, so exact copies spread as well, and a retried
+    task sends every row where it went before.
 
-    ``n_rows``, when the caller has counted, spares the slicing of a small
-    input and the count of a large one.
+    ``n_rows``, when the caller has counted, spares the split for a small
+    input and the count for a large one.
     """
     columns = rows.columns
     if n_rows is not None and n_rows <= ONE_TASK_ROWS:
-        right = _as_right(totals.select(*keys, *values), keys)
-        return rows.join(right, _match(rows, right, keys), "left").select(*columns, *values)
+        right = _prefixed(totals, [*keys, *values], "_c_")
+        joined = rows.join(right, _match(rows, right, keys, "_c_"), "left")
+        return joined.select(*columns, *[F.col(f"_c_{v}").alias(v) for v in values])
 
     whole = F.lit(n_rows) if n_rows is not None else rows.agg(F.count("*")).scalar()
-    hot = _as_right(hot_groups(totals, whole, keys, count), keys)
-    scattered = F.xxhash64(*[F.col(c) for c in columns]) + F.spark_partition_id()
-    left = rows.withColumn("_scatter", F.pmod(scattered, F.lit(2**31 - 1)))
-    left = left.join(F.broadcast(hot), _match(left, hot, keys), "left")
-    left = left.select(
-        *columns,
-        F.when(F.col("_slices").isNull(), 0).otherwise(F.col("_scatter") % F.col("_slices")).cast("int").alias("_slice"),
-    )
-    right = totals.select(
-        *[F.col(key).alias(f"_r_{key}") for key in keys],
-        *values,
-        F.explode(F.sequence(F.lit(0), F.coalesce(_slices(count, whole), F.lit(1)) - 1)).alias("_r_slice"),
+    # Both sides of the split use the same columns in the same order (the count
+    # first, as in ``totals``), so the shuffle of the totals runs once.
+    flagged = totals.select(*keys, is_hot(whole, count).alias("hot"), *values)
+    hot = _prefixed(flagged.where("hot"), flagged.columns, "_h_")
+    # The lane is part of the join key: 0 for a cold group and its rows, 1 for the
+    # totals of a hot group, from 2 on for its rows.
+    cold = _prefixed(flagged.withColumn("lane", F.col("hot").cast("int")), [*keys, "lane", *values], "_c_")
+
+    scattered = F.pmod(F.xxhash64(*[F.col(c) for c in columns]) + F.spark_partition_id(), F.lit(2**31 - 3)) + 2
+    left = rows.withColumn("_scatter", scattered.cast("int"))
+    left = left.join(F.broadcast(hot), _match(left, hot, keys, "_h_"), "left")
+    left = left.withColumn("_lane", F.when(F.col("_h_hot"), F.col("_scatter")).otherwise(0))
+    joined = left.join(cold, _match(left, cold, keys, "_c_") & (left["_lane"] == cold["_c_lane"]), "left")
+    return joined.select(
+        *columns, *[F.when(F.col("_h_hot"), F.col(f"_h_{v}")).otherwise(F.col(f"_c_{v}")).alias(v) for v in values]
     )
-    condition = _match(left, right, keys) & (left["_slice"] == right["_r_slice"])
-    return left.join(right, condition, "left").select(*[left[c] for c in columns], *values)

@@ -275,9 +275,8 @@ def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = matrix(spark, sf_dir)
-    centres = clustering.kmeans_fit(encoded, k=3, seed=42)
-    return projection.cluster_scatter(clustering.with_labels(encoded, centres))
+    labelled = clustering.kmeans_labels(matrix(spark, sf_dir), k=3, seed=42)
+    return projection.cluster_scatter(labelled)
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:

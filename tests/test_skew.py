@@ -52,12 +52,20 @@ def test_a_hot_group_is_spread_over_the_tasks(spark):
     assert max(sizes) < 2 * 200_000 / 8
 
 
-def test_slices_of_the_hot_groups_are_bounded(spark):
+def test_only_hot_groups_are_broadcast(spark):
     rows = hot_rows(spark)
-    hot = skew.hot_groups(totals_of(rows), F.lit(rows.count()), ["k"])
-    found = {r["k"]: r["_slices"] for r in hot.collect()}
-    assert list(found) == [0]
-    assert sum(found.values()) <= 2 * skew.SLICES
+    hot = totals_of(rows).where(skew.is_hot(F.lit(rows.count())))
+    assert [r["k"] for r in hot.collect()] == [0]
+
+
+def test_totals_are_shuffled_once(spark):
+    rows = hot_rows(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = skew.join_totals(rows, totals_of(rows), ["k"], ["top"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange" in plan
 
 
 def test_enrichment_has_no_window(spark):
