@@ -49,20 +49,25 @@ def with_value_counts(
         "hour_count": "hour",
         "weekday_count": "weekday",
     }
-    values = {name: F.coalesce(F.col(c).cast("string"), F.lit("")) for name, c in counted.items()}
-    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("of"), v.alias("value")) for name, v in values.items()]))
-    per_value = rows.select("user_id", pairs.alias("v")).groupBy("user_id", "v.of", "v.value").agg(F.count("*").alias("n"))
+    # a map has no null key; only the calendar columns can be null here
+    known = rows.fillna(-1, subset=["hour", "weekday"])
+    per_value = known.groupingSets([["user_id", c] for c in counted.values()], "user_id", *counted.values()).agg(
+        F.count("*").alias("n"), *[F.grouping(c).alias(f"_{c}") for c in counted.values()]
+    )
     per_user = per_value.groupBy("user_id").agg(
         # every event adds one to each of the four counts
         (F.sum("n") / len(counted)).cast("long").alias("n"),
         *[
-            F.map_from_entries(F.collect_list(F.when(F.col("of") == name, F.struct("value", "n")))).alias(f"_{name}")
-            for name in values
+            F.map_from_entries(F.collect_list(F.when(F.col(f"_{c}") == 0, F.struct(c, "n")))).alias(f"_{name}")
+            for name, c in counted.items()
         ],
     )
-    joined = join_totals(rows, per_user, ["user_id"], [f"_{name}" for name in values])
-    found = {name: F.element_at(f"_{name}", v) for name, v in values.items()}
-    return joined.withColumns(found).drop(*[f"_{name}" for name in values])
+    joined = join_totals(rows, per_user, ["user_id"], [f"_{name}" for name in counted])
+    found = {
+        name: F.element_at(f"_{name}", F.coalesce(c, F.lit(-1)) if c in ("hour", "weekday") else F.col(c))
+        for name, c in counted.items()
+    }
+    return joined.withColumns(found).drop(*[f"_{name}" for name in counted])
 
 
 def with_product_totals(events: DataFrame) -> DataFrame:

@@ -205,6 +205,18 @@ def oracle_sql() -> dict[str, str]:
     long_z = " union all ".join(
         f"select id_client, {k} as k, '{c}_z' as name, {c}_z as value from scaled" for k, c in enumerate(NUMERIC_FEATURES)
     )
+    entries = f"""with {SCALED},
+  slots as (select id_client, 1.0 as value,
+      {len(NUMERIC_FEATURES)} + dense_rank() over (order by most_common_category) - 1 as category_position,
+      {len(NUMERIC_FEATURES)} + (select count(distinct most_common_category) from scaled)
+        + dense_rank() over (order by most_common_brand) - 1 as brand_position
+    from scaled),
+  entries as (
+    select id_client, k as position, value from ({long_z})
+    union all select id_client, category_position, value from slots
+    union all select id_client, brand_position, value from slots)
+  select id_client, cast(position as int) as position, round(cast(value as double), 6) as value
+  from entries where round(value, 6) <> 0"""
     return {
         "customer_metrics": from_customers(
             [
@@ -282,6 +294,8 @@ def oracle_sql() -> dict[str, str]:
     cast(dense_rank() over (order by most_common_category) - 1 as int) as most_common_category_slot,
     cast(dense_rank() over (order by most_common_brand) - 1 as int) as most_common_brand_slot
   from customers""",
+        "feature_matrix": entries,
+        "feature_batch": f"{entries} and id_client between {FIRST_ID} and {LAST_ID}",
         "assign_clusters": f"with {ASSIGNED} select id_client, cluster from assigned",
         "minibatch_step": f"""with {ASSIGNED},
   totals as (select a.cluster, l.dim, count(*) as n, sum(l.value) as total

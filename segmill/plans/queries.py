@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,21 +198,20 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.one_hot_slots(table, features.fit_preprocessor(table))
 
 
-def _vector_output(df: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
+def _nonzero_entries(df: DataFrame) -> DataFrame:
+    """A matrix as rows ``id_client, position, value``, zeros left out."""
+    entries = df.select("id_client", F.posexplode(vector_to_array("features")).alias("position", "value"))
+    return entries.withColumn("value", F.round("value", 6)).where("value <> 0")
 
-    values = F.transform(vector_to_array("features"), lambda v: F.round(v, 6))
-    return df.select("id_client", F.array_join(values.cast("array<string>"), " ").alias("features"))
 
+def matrix_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nonzero_entries(matrix(spark, sf_dir))
 
-def matrix_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vector_output(matrix(spark, sf_dir))
 
-
-def batch_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+def batch_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = stored_customers(spark, sf_dir)
     model = features.fit_preprocessor(table)
-    return _vector_output(features.feature_batch(table, model, s.FIRST_ID, s.LAST_ID))
+    return _nonzero_entries(features.feature_batch(table, model, s.FIRST_ID, s.LAST_ID))
 
 
 def _step_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,8 +378,8 @@ def queries() -> dict[str, Query]:
         "preview": previewed,
         "scaled_features": scaled_output,
         "one_hot_features": one_hot,
-        "feature_matrix": matrix_output,
-        "feature_batch": batch_output,
+        "feature_matrix": matrix_entries,
+        "feature_batch": batch_entries,
         "assign_clusters": assigned,
         "minibatch_step": one_step,
         "minibatch_kmeans": minibatch,

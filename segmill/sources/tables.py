@@ -102,3 +102,8 @@ def save_centres(centres: DataFrame, path: str) -> None:
 
 def load_centres(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("cluster int, center array<double>, weight double").parquet(path)
+
+
+def save_model(model, path: str) -> None:
+    """A fitted Spark ML model; ``type(model).load(path)`` reads it back."""
+    model.write().overwrite().save(path)
