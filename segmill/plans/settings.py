@@ -17,6 +17,6 @@ CENTRES = [[0.0, 0.0, 0.0, 0.0], [1.0, 0.5, -0.5, 1.0], [-1.0, -0.5, 0.5, -1.0],
 CENTRE_WEIGHTS = [5.0, 3.0, 0.5, 1.0]
 
 DENSITY_COLUMNS = ["total_spent", "avg_session_len_sec"]
-EPS = 0.4
-MIN_POINTS = 10
-MIN_CLUSTER_SIZE = 10
+EPS = 0.2
+MIN_POINTS = 4
+MIN_CLUSTER_SIZE = 4
