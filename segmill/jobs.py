@@ -31,7 +31,7 @@ def ingest(spark: SparkSession, csv: str, events: str, quarantine: str, scope: s
 
 def customers(spark: SparkSession, events: str, customers: str, as_of: str) -> None:
     found = metrics.customer_metrics(tables.read_events(spark, events), as_of)
-    tables.write_customers_path(found, customers)
+    tables.write_customers_path(found, customers, in_id_order=True)
 
 
 def _matrix(spark: SparkSession, customers: str, model: str | None = None) -> DataFrame:

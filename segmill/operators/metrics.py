@@ -25,6 +25,7 @@ from segmill.operators.toplist import (
     collapse_rare_category,
 )
 from segmill.schemas import CUSTOMERS_SCHEMA
+from segmill.session import materialize
 
 
 def _is(kind: str) -> Column:
@@ -197,5 +198,6 @@ def customer_metrics(
     n_categories: int = TOP_CATEGORIES,
 ) -> DataFrame:
     """The customers table: every metric plus ``id_client`` = 0 .. n-1 in user order."""
-    metrics = user_metrics(events, as_of, n_brands, n_categories)
+    # Written first: the ids sample their input, which would run the joins again.
+    metrics = materialize(user_metrics(events, as_of, n_brands, n_categories), "metrics")
     return assign_customer_id(metrics).select(*CUSTOMERS_SCHEMA.names)

@@ -31,22 +31,15 @@ def pca_2d(matrix: DataFrame, *carry: str) -> DataFrame:
 
 
 def feature_covariance(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Population covariances as rows ``i, j, covariance`` with i <= j, in one aggregate."""
+    """Population covariances as rows ``i, j, covariance``, each pair once, in one aggregate."""
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    wide = df.agg(*[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs])
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(columns[i]).alias("i"),
-                    F.lit(columns[j]).alias("j"),
-                    F.col(f"c{i}_{j}").alias("covariance"),
-                )
-                for i, j in pairs
-            ]
-        )
+    pair = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])).alias("pair")
+    rows = df.select(F.array(*columns).alias("v"), pair)
+    names = F.array(*[F.lit(c) for c in columns])
+    found = rows.groupBy("pair.i", "pair.j").agg(
+        F.covar_pop(F.get("v", F.col("pair.i")), F.get("v", F.col("pair.j"))).alias("covariance")
     )
-    return wide.select(rows.alias("row")).select("row.*")
+    return found.select(names[F.col("i")].alias("i"), names[F.col("j")].alias("j"), "covariance")
 
 
 def cluster_scatter(matrix_with_labels: DataFrame) -> DataFrame:
