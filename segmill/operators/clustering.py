@@ -65,14 +65,20 @@ def _size_order(model: KMeansModel) -> list[int]:
 
 
 def kmeans_fit(matrix: DataFrame, k: int = 3, seed: int = 42) -> list[list[float]]:
-    """Centres of a full k-means, largest cluster first."""
-    model = _fit(matrix, k, seed)
+    """Centres of a full k-means, largest cluster first; not more than there are rows."""
+    few = matrix.limit(k).select("features").collect()
+    if len(few) < 2:
+        return [row["features"].toArray().tolist() for row in few]
+    model = _fit(matrix, len(few), seed)
     centres = model.clusterCenters()
     return [centres[i].tolist() for i in _size_order(model)]
 
 
 def kmeans_labels(matrix: DataFrame, k: int = 3, seed: int = 42, into: str = "label") -> DataFrame:
     """``matrix`` with the cluster of a full k-means, numbered by size."""
+    k = matrix.limit(k).count()
+    if k < 2:
+        return matrix.withColumn(into, F.lit(0))
     model = _fit(matrix, k, seed)
     order = _size_order(model)
     numbers = F.array(*[F.lit(order.index(i)) for i in range(len(order))])
@@ -88,9 +94,14 @@ def kmeans_elbow(
 ) -> DataFrame:
     """``k, inertia`` per k, over a matrix cached once for all the fits."""
     cached = matrix.persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = cached.limit(max(k_values)).count()
 
     def inertia(k: int) -> float:
-        return total_inertia(cached) if k == 1 else float(_fit(cached, k, seed).summary.trainingCost)
+        if k == 1:
+            return total_inertia(cached)
+        if n_rows < max(k_values) and k >= n_rows:
+            return 0.0
+        return float(_fit(cached, k, seed).summary.trainingCost)
 
     try:
         with ThreadPoolExecutor(parallelism) as pool:
@@ -147,19 +158,18 @@ def minibatch_kmeans(
     its own row groups only. ``batch_ids`` fixes the width of a range; without
     it the ids are cut into ``batches`` ranges, since each step is a job of its
     own and few large ones keep a cluster busy. First centres come from a
-    seeded k-means on the first batch that holds rows.
+    seeded k-means on the first batch, or on more where that has under k rows.
     """
     top = matrix.agg(F.max("id_client")).first()[0]
     if top is None:
         return [], []
     width = batch_ids or -(-(top + 1) // batches)
-    centres, weights = [], []
+    first = width
+    while first <= top and matrix.where(F.col("id_client") < first).limit(k).count() < k:
+        first *= 2
+    centres = kmeans_fit(matrix.where(F.col("id_client") < first), k, seed)
+    weights = [0.0] * len(centres)
     for start in range(0, top + 1, width):
         batch = matrix.where((F.col("id_client") >= start) & (F.col("id_client") < start + width))
-        if not centres:
-            if batch.isEmpty():
-                continue
-            centres = [c.tolist() for c in _fit(batch, k, seed).clusterCenters()]
-            weights = [0.0] * len(centres)
         centres, weights = minibatch_step(batch, centres, weights)
     return centres, weights

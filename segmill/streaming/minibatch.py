@@ -49,6 +49,8 @@ def stream_minibatch_kmeans(
         centres, weights = centres_from_frame(read_centres(spark, centres_path, batch_id))
         if not centres:
             centres = kmeans_fit(batch, k, seed)
+            if len(centres) < k:
+                raise ValueError(f"the first batch needs at least {k} different rows")
             weights = [0.0] * len(centres)
         centres, weights = minibatch_step(batch, centres, weights)
         centres_frame(spark, centres, weights).coalesce(1).write.mode("overwrite").parquet(

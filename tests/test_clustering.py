@@ -52,7 +52,6 @@ def test_minibatch_sees_every_row_once(matrix, points):
     centres, weights = clustering.minibatch_kmeans(matrix, k=3, batches=4, seed=0)
     assert sum(weights) == len(points)
     assert clustering.minibatch_kmeans(matrix, k=3, batch_ids=60, seed=0)[1] == weights
-    # the first 60 rows are one blob, yet every blob ends with a centre of its own or shares one
     assert len(centres) == 3
 
 
@@ -61,6 +60,21 @@ def test_full_kmeans_numbers_by_size(matrix):
     assert labels.tolist() == [0] * 120 + [1] * 70 + [2] * 50
 
 
+def test_fewer_rows_than_clusters(spark):
+    two = matrix_of(spark, np.array([[0.0, 1.0], [5.0, 5.0]]))
+    assert sorted(clustering.kmeans_fit(two, k=4)) == [[0.0, 1.0], [5.0, 5.0]]
+    assert clustering.kmeans_fit_predict(two.limit(1), k=3).first()["cluster"] == 0
+    centres, weights = clustering.minibatch_kmeans(two, k=4, batch_ids=1)
+    assert len(centres) == 2 and sum(weights) == 2
+    curve = clustering.kmeans_elbow(two, range(1, 5)).toPandas()
+    assert curve["inertia"].tolist() == [20.5, 0.0, 0.0, 0.0]
+
+
+def test_first_centres_come_from_enough_rows(spark, points):
+    centres, weights = clustering.minibatch_kmeans(matrix_of(spark, points[:10]), k=3, batch_ids=2)
+    assert len(centres) == 3 and sum(weights) == 10
+
+
 def test_elbow(matrix, points):
     curve = clustering.kmeans_elbow(matrix, range(1, 7)).toPandas()
     assert curve["k"].tolist() == list(range(1, 7))
