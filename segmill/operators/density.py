@@ -27,10 +27,12 @@ from segmill.operators.skew import SLICES, is_hot, join_totals
 from segmill.session import materialize
 
 NOISE = -1
-# Cells that can hold a point within eps of a point of cell (0, 0).
-NEAR_CELLS = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if abs(dx) + abs(dy) < 4]
+# Other cells that can hold a point within eps of a point of cell (0, 0).
+NEAR_CELLS = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if 0 < abs(dx) + abs(dy) < 4]
 # One of each pair of opposite directions.
 FORWARD_CELLS = [(dx, dy) for dx, dy in NEAR_CELLS if (dx, dy) > (0, 0)]
+# A slice of a hot cell has at least this many points.
+SLICE_POINTS = 10_000
 # A box is cut into SPLIT x SPLIT smaller ones per round.
 SPLIT = 4
 
@@ -53,7 +55,7 @@ def _shifted(offsets: list[tuple[int, int]]) -> Column:
 
 
 def density_core_points(points: DataFrame, eps: float, min_points: int = 10) -> DataFrame:
-    """``id_client, x, y, cx, cy, neighbours, is_core`` from ``id_client, x, y``.
+    """``id_client, x, y, cx, cy, neighbours, is_core`` from stored ``id_client, x, y``.
 
     ``neighbours`` counts the points within ``eps`` up to ``min_points``, which
     is as far as being core depends on it.
@@ -67,9 +69,10 @@ def density_core_points(points: DataFrame, eps: float, min_points: int = 10) ->
     thin = counted.where(F.col("n") < min_points)
     # The points of a hot cell are cut into slices, each about 1/SLICES of all
     # points, and a probe goes to each slice: at most 2 * SLICES slices in all.
-    slices = F.ceil(F.col("n") * SLICES / n_points).cast("int").alias("_slices")
+    per_slice = max(SLICE_POINTS, -(-n_points // SLICES))
+    slices = F.ceil(F.col("n") / per_slice).cast("int").alias("_slices")
     hot = F.broadcast(
-        cells.where(is_hot(F.lit(n_points)) & (F.col("n") >= min_points)).select(
+        cells.where(is_hot(F.lit(n_points)) & (F.col("n") > per_slice)).select(
             F.col("cx").alias("tx"), F.col("cy").alias("ty"), slices
         )
     )
@@ -94,7 +97,9 @@ def density_core_points(points: DataFrame, eps: float, min_points: int = 10) ->
         .agg(F.count("*").alias("found"))
     )
     columns = ["id_client", "x", "y", "cx", "cy"]
-    thin_counts = thin.join(found, "id_client").select(*columns, F.least("found", F.lit(min_points)).alias("neighbours"))
+    # the points of its own cell are all neighbours
+    neighbours = F.least(F.col("n") + F.coalesce("found", F.lit(0)), F.lit(min_points)).alias("neighbours")
+    thin_counts = thin.join(found, "id_client", "left").select(*columns, neighbours)
     crowded_counts = crowded.select(*columns, F.lit(min_points).cast("bigint").alias("neighbours"))
     return crowded_counts.unionAll(thin_counts).withColumn("is_core", F.col("neighbours") >= min_points)
 

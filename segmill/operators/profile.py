@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segmill.operators.ids import assign_dense_id
 from segmill.session import materialize
 
 
@@ -34,16 +35,17 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
 def random_sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` random rows (all rows when there are fewer).
 
-    Draws slightly more than ``n`` rows first, so the final top-n sees about
-    ``n`` rows instead of ``n`` from every task. Should the draw fall short,
-    every row takes part.
+    The ``n`` smallest of a random draw per row. Slightly more than ``n`` rows
+    are drawn first and ranked among themselves, in as many tasks as they need.
+    Should the draw fall short, every row is ranked.
     """
     rows = df.count()
+    if n >= rows:
+        return df
     drawn = df.withColumn("_draw", F.rand(seed))
-    if n < rows:
-        share = (n + 6 * sqrt(n) + 10) / rows
-        if share < 1:
-            stored = materialize(drawn.where(F.col("_draw") < share), "sample")
-            if stored.count() >= n:
-                drawn = stored
-    return drawn.orderBy("_draw").limit(n).drop("_draw")
+    share = (n + 6 * sqrt(n) + 10) / rows
+    if share < 1:
+        stored = materialize(drawn.where(F.col("_draw") < share), "sample")
+        if stored.count() >= n:
+            drawn = stored
+    return assign_dense_id(drawn, ["_draw"], "_rank").where(F.col("_rank") < n).drop("_draw", "_rank")

@@ -63,6 +63,15 @@ def test_equals_brute_force(spark, eps, min_points):
     assert (np.diff(sizes) <= 0).all()
 
 
+def test_slices_of_a_hot_cell(spark, monkeypatch):
+    monkeypatch.setattr(density, "SLICE_POINTS", 7)
+    points = sample_points(3)
+    counts, _ = brute_force(points, 0.1, 600, 10)
+    core = density.density_core_points(frame(spark, points), 0.1, 600).toPandas().sort_values("id_client")
+    assert (core["neighbours"].to_numpy() == np.minimum(counts, 600)).all()
+    assert core["is_core"].sum() == 0
+
+
 def test_blobs_and_outliers(spark):
     rng = np.random.default_rng(5)
     points = np.concatenate(

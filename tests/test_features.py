@@ -67,7 +67,10 @@ def test_batches(spark):
 def test_random_sample(spark):
     table = spark.range(20_000)
     assert profile.random_sample(table, 500, seed=3).distinct().count() == 500
+    assert profile.random_sample(table, 19_990, seed=3).distinct().count() == 19_990
     assert profile.random_sample(table, 30_000, seed=3).count() == 20_000
+    mean = profile.random_sample(table, 5_000, seed=4).agg(F.avg("id")).first()[0]
+    assert 9_500 < mean < 10_500
 
 
 def test_profile(spark):
