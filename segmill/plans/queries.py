@@ -36,9 +36,14 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, ROUNDED[c]) for c in df.columns if c in ROUNDED})
 
 
-def _on_clicks(operator: Callable[..., DataFrame], *args, columns: list[str] | None = None, **kwargs) -> Query:
+def _on_clicks(
+    operator: Callable[..., DataFrame], *args, columns: list[str] | None = None, stored: bool = False
+) -> Query:
+    """``stored`` writes the view first, for operators that read it several times."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        result = _rounded(operator(clickstream(spark, sf_dir), *args, **kwargs))
+        events = clickstream(spark, sf_dir)
+        result = _rounded(operator(materialize(events, "events") if stored else events, *args))
         return result.select(*columns) if columns else result
 
     return run
@@ -351,15 +356,16 @@ def queries() -> dict[str, Query]:
             s.N_BRANDS,
             s.N_CATEGORIES,
             columns=["event_id", "category_count", "brand_count", "hour_count", "weekday_count"],
+            stored=True,
         ),
         "win_cart_purchase_time": _on_clicks(
-            enrich.with_product_totals, columns=["event_id", "cart_time", "purchase_time"]
+            enrich.with_product_totals, columns=["event_id", "cart_time", "purchase_time"], stored=True
         ),
         "win_views_per_product": _on_clicks(
-            enrich.with_product_totals, columns=["event_id", "views_per_product"]
+            enrich.with_product_totals, columns=["event_id", "views_per_product"], stored=True
         ),
         "win_session_bounds": _on_clicks(
-            enrich.with_session_bounds, columns=["event_id", "session_start", "session_end"]
+            enrich.with_session_bounds, columns=["event_id", "session_start", "session_end"], stored=True
         ),
         "drop_unused": _on_dirty(cleaning.drop_unused),
         "dedup_events": _on_dirty(cleaning.dedup_events),
