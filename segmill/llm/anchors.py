@@ -6,11 +6,12 @@ key sees every repeat of its windows, and no index has to be searched for texts
 cannot be in it. Neighbouring windows mostly share a key; a run of them is a region.
 
 1. Every text lists its regions: key, hash of the content, place.
-2. Regions are brought together by key. Keys that occur once are dropped. Regions of
-   equal content are folded: each counts as repeated from its second place on, and
-   only the earliest is kept for the index.
-3. Where a key has several contents, these are cut out of their texts and indexed
-   together (suffix array, FM-index), which finds the windows they share.
+2. Regions are brought together by key. Keys that occur once are dropped, unless the
+   region may repeat itself. Regions of equal content are folded: each counts as
+   repeated from its second place on, and only the earliest is kept for the index.
+3. Where a key has several contents, or one that may repeat itself, these are cut out
+   of their texts and indexed together (suffix array, FM-index), which finds the
+   windows they share.
 4. Windows found are gathered by text.
 
 Copies within a batch of rows are folded before the first shuffle, so a text with
@@ -106,7 +107,11 @@ class Windows:
     spell: int = 0
 
     def regions(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(key, content hash, start, n) of the regions of a text; n windows each."""
+        """(key, content hash, start, n, inner) of the regions of a text; n windows each.
+
+        ``inner`` tells that the key's gram comes twice, as it does in a region that
+        repeats a window of its own.
+        """
         n_windows = self.size(text) - self.length + 1
         units = self.units(text) if n_windows > 0 else None
         parts = [
@@ -114,7 +119,7 @@ class Windows:
             for at in range(0, max(0, n_windows), BLOCK_UNITS)
         ]
         if not parts:
-            return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
+            return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, bool))
         return tuple(np.concatenate(x) for x in zip(*parts))
 
     def _block(self, units: np.ndarray, at: int) -> tuple:
@@ -135,11 +140,17 @@ class Windows:
         sums = np.r_[np.uint64(0), np.cumsum(units * up[: len(units)], dtype=np.uint64)]
         end = first + n + self.length - 1 - self.spell
         content = mix((sums[end] - sums[first]) * down[first] + n.astype(np.uint64))
+        around = np.lib.stride_tricks.sliding_window_view(grams, width)
+        key = least[first][:, None]
+        leftmost = first + (around[first] == key).argmax(axis=1)
+        last = first + n - 1
+        rightmost = last + width - 1 - (around[last][:, ::-1] == key).argmax(axis=1)
         return (
             least[first].view(np.int64),
             content.view(np.int64),
             (first + at).astype(np.int32),
             n.astype(np.int32),
+            leftmost != rightmost,
         )
 
     def window_keys(self, text: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +181,8 @@ class Search:
     first_stays: bool
 
 
-REGION = "key long, content long, did long, sum int, start int, n int, twin boolean"
-FOUND = "did long, sum int, start int, n int, full boolean, rep boolean, key long"
+REGION = "key long, content long, did long, sum int, start int, n int, inner boolean, twin boolean"
+FOUND = "did long, sum int, start int, n int, inner boolean, full boolean, rep boolean, key long"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -194,7 +205,7 @@ def list_regions(texts: DataFrame, search: Search) -> DataFrame:
             seen: dict[str, int] = {}
             copies: list[tuple[int, int, int]] = []
             repeated: set[int] = set()
-            columns = [[], [], [], [], [], []]
+            columns = [[], [], [], [], [], [], []]
             for i, (did, total, text) in enumerate(zip(batch["did"], batch["sum"], batch["text"])):
                 first = seen.setdefault(text, i)
                 # a row that repeats id and text is no later than the first
@@ -203,14 +214,14 @@ def list_regions(texts: DataFrame, search: Search) -> DataFrame:
                     copies.append((did, total, i))
                     repeated.add(first)
                     continue
-                key, content, start, n = windows.regions(text.encode())
+                key, content, start, n, inner = windows.regions(text.encode())
                 for column, values in zip(
                     columns,
-                    (key, content, np.full(len(key), i), start, n, np.full(len(key), first)),
+                    (key, content, np.full(len(key), i), start, n, inner, np.full(len(key), first)),
                 ):
                     column.append(values)
             if columns[0]:
-                key, content, row, start, n, first = (np.concatenate(c) for c in columns)
+                key, content, row, start, n, inner, first = (np.concatenate(c) for c in columns)
                 twin = np.isin(first, list(repeated)) if not first_stays else np.zeros(len(key), bool)
                 yield pd.DataFrame(
                     {
@@ -220,6 +231,7 @@ def list_regions(texts: DataFrame, search: Search) -> DataFrame:
                         "sum": batch["sum"].to_numpy()[row],
                         "start": start,
                         "n": n,
+                        "inner": inner,
                         "twin": twin,
                     }
                 )
@@ -235,6 +247,7 @@ def list_regions(texts: DataFrame, search: Search) -> DataFrame:
                         "sum": total,
                         "start": 0,
                         "n": n,
+                        "inner": False,
                         "twin": True,
                     }
                 )
@@ -278,8 +291,8 @@ def fold_regions(regions: DataFrame, first_stays: bool) -> DataFrame:
         after_key, after = np.r_[same_key, False], np.r_[same, False]
         twin = rows["twin"].to_numpy()
         full = before | twin if first_stays else before | after | twin
-        rep = ~before & (before_key | after_key)
-        out = rows[["did", "sum", "start", "n"]].assign(full=full, rep=rep, key=key)
+        rep = ~before & (before_key | after_key | rows["inner"].to_numpy())
+        out = rows[["did", "sum", "start", "n", "inner"]].assign(full=full, rep=rep, key=key)
         out = out.iloc[:n]
         if n:
             previous = (key[n - 1], content[n - 1])
@@ -408,9 +421,10 @@ def repeated_windows(texts: DataFrame, search: Search) -> DataFrame:
     """
     found = materialize(fold_regions(list_regions(texts, search), search.first_stays), "regions")
     reps = found.where("rep")
-    counted = reps.join(
-        reps.groupBy("key").agg(F.count("*").alias("contents")).where("contents > 1"), "key"
+    groups = reps.groupBy("key").agg(
+        F.count("*").alias("contents"), F.max("inner").alias("any_inner")
     )
+    counted = reps.join(groups.where("contents > 1 or any_inner"), "key")
     few = counted.where(F.col("contents") <= MAX_REGIONS)
     many = counted.where(F.col("contents") > MAX_REGIONS)
     spans = (

@@ -181,7 +181,7 @@ from d left join kept using (doc_id)
 
 _EMBEDDING_SQL = """
 with recursive v as (
-  select vec_id, label, list_transform(embedding, x -> cast(x as double)) as e from embeddings),
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
 links as (
   select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
   where list_cosine_similarity(a.e, b.e) >= 0.93),
