@@ -150,15 +150,13 @@ m as (
     cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
     cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines, coalesce(n_lines, 0) as n_lines,
     cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
-    length(t) - length(replace(t, '!', '')) as n_bangs,
-    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as n_capitals
+    length(t) - length(replace(t, '!', '')) as n_bangs
   from d left join covered using (doc_id) left join counted using (doc_id)),
 j as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not (base_failed or 10 * n_symbols > n_words or 2 * n_dup_lines > n_lines
-    or 10 * n_bangs > 3 * n_words or word_chars < 2 * n_words or word_chars > 12 * n_words
-    or 2 * n_capitals > word_chars) as kept
+    or 10 * n_bangs > 3 * n_words or word_chars < 2 * n_words or word_chars > 12 * n_words) as kept
 from j
 """
 
