@@ -22,8 +22,11 @@ from segmill.sources import csv_events, tables
 
 
 def ingest(spark: SparkSession, csv: str, events: str, quarantine: str, scope: str = "file") -> DataFrame:
-    """Appends the cleaned rows of a folder, sets bad rows aside, reports per file."""
-    scanned = csv_events.scan_events_csv(spark, csv)
+    """Appends the cleaned rows of a folder, sets bad rows aside, reports per file.
+
+    The folder is parsed once; the three outputs start from the typed rows as written.
+    """
+    scanned = materialize(csv_events.scan_events_csv(spark, csv), "scanned")
     tables.append_events_path(csv_events.clean_scanned(scanned, scope), events)
     tables.save_quarantine(csv_events.rejected_rows(scanned), quarantine)
     return csv_events.ingest_report(scanned, scope)
@@ -31,7 +34,7 @@ def ingest(spark: SparkSession, csv: str, events: str, quarantine: str, scope: s
 
 def customers(spark: SparkSession, events: str, customers: str, as_of: str) -> None:
     found = metrics.customer_metrics(tables.read_events(spark, events), as_of)
-    tables.write_customers_path(found, customers, in_id_order=True)
+    tables.write_customers_path(found, customers)
 
 
 def _matrix(spark: SparkSession, customers: str, model: str | None = None) -> DataFrame:
@@ -39,7 +42,8 @@ def _matrix(spark: SparkSession, customers: str, model: str | None = None) -> Da
     fitted = features.fit_preprocessor(table)
     if model:
         tables.save_model(fitted, model)
-    return materialize(features.feature_matrix(table, fitted), "matrix")
+    encoded = features.feature_matrix(table, fitted)
+    return materialize(encoded.repartitionByRange("id_client").sortWithinPartitions("id_client"), "matrix")
 
 
 def elbow(spark: SparkSession, customers: str, out: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmill.functions.scalars import UNKNOWN, category_level, normalise_text
-from segmill.schemas import CATEGORY_LEVELS, LEVEL_COLUMNS
+from segmill.schemas import CATEGORY_LEVELS, LEVEL_COLUMNS, REST_COLUMN
 
 DEDUP_KEYS = ["event_time", "user_id", "product_id", "event_type"]
 UNUSED_COLUMNS = ["category_id"]
@@ -48,10 +48,14 @@ def normalise_strings(df: DataFrame) -> DataFrame:
 
 
 def split_category(df: DataFrame) -> DataFrame:
-    """The dotted path as one column per level; levels past the fourth are left out."""
+    """The dotted path as one column per level, and what follows the last one."""
     path = F.col("category_code")
     levels = {name: category_level(path, i + 1) for i, name in enumerate(LEVEL_COLUMNS[:CATEGORY_LEVELS])}
-    return df.withColumns(levels).drop("category_code")
+    parts = F.split(path, "[.]")
+    rest = F.array_join(F.slice(parts, CATEGORY_LEVELS + 1, F.size(parts)), ".")
+    return df.withColumns(
+        levels | {REST_COLUMN: F.when(F.size(parts) > CATEGORY_LEVELS, rest)}
+    ).drop("category_code")
 
 
 def fill_category_levels(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,6 +17,9 @@ from pyspark.storagelevel import StorageLevel
 
 Centres = Sequence[Sequence[float]]
 
+# Far beyond what a fit takes; it is there to end one that swings to and fro.
+MAX_ITERATIONS = 1000
+
 CENTRES_SCHEMA = "cluster int, center array<double>, weight double"
 
 
@@ -54,8 +58,12 @@ def total_inertia(matrix: DataFrame) -> float:
     return float(sum(row.s["variance"])) * (count - 1) if count else 0.0
 
 
-def _fit(matrix: DataFrame, k: int, seed: int, max_iter: int = 20) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="_raw").fit(matrix)
+def _fit(matrix: DataFrame, k: int, seed: int, max_iter: int = MAX_ITERATIONS) -> KMeansModel:
+    """Runs until the centres stand still; warns where ``max_iter`` ends it before."""
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="_raw").fit(matrix)
+    if model.summary.numIter >= max_iter:
+        warnings.warn(f"k-means with k={k} stopped after {max_iter} iterations", stacklevel=3)
+    return model
 
 
 def _size_order(model: KMeansModel) -> list[int]:

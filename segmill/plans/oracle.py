@@ -130,7 +130,12 @@ def _levels(path: str) -> str:
     """Level columns; a list index past the end gives null."""
     parts = [f"string_split({path}, '.')[{i}]" for i in range(1, 5)]
     rest = ", ".join(f"coalesce({p}, 'unknown') as category_code_{i}" for i, p in enumerate(parts[1:], 2))
-    return f"{parts[0]} as category_code_1, {rest}"
+    return f"{parts[0]} as category_code_1, {rest}, {_rest(path)} as category_rest"
+
+
+def _rest(path: str) -> str:
+    """What follows the fourth level, null where nothing does."""
+    return f"nullif(array_to_string(list_slice(string_split({path}, '.'), 5, -1), '.'), '')"
 
 
 def cleaned(source: str, time: str, price: str) -> str:
@@ -265,7 +270,8 @@ def oracle_sql() -> dict[str, str]:
         f"{_normalised('category_code')} as category_code from raw",
         "split_category": f"""with {CLEANED},
   parts as (select ordinal, string_split({_normalised('category_code')}, '.') as p from raw)
-  select ordinal, {', '.join(f'p[{i}] as category_code_{i}' for i in range(1, 5))} from parts""",
+  select ordinal, {', '.join(f'p[{i}] as category_code_{i}' for i in range(1, 5))},
+    nullif(array_to_string(list_slice(p, 5, -1), '.'), '') as category_rest from parts""",
         "fill_category_levels": f"""with {CLEANED},
   norm as (select ordinal, {_normalised('category_code')} as category_code from raw)
   select ordinal, {_levels('category_code')} from norm""",

@@ -66,7 +66,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customers table as later jobs see it: written, then read back."""
     path = scratch_path(spark, "customers")
-    tables.write_customers_path(customers(spark, sf_dir), path, in_id_order=True)
+    tables.write_customers_path(customers(spark, sf_dir), path)
     return tables.read_customers(spark, path)
 
 
@@ -105,7 +105,7 @@ def split_levels(df: DataFrame) -> DataFrame:
     return cleaning.split_category(cleaning.normalise_strings(df))
 
 
-LEVELS = [f"category_code_{i}" for i in range(1, 5)]
+LEVELS = [*(f"category_code_{i}" for i in range(1, 5)), "category_rest"]
 
 
 def _written_csv(spark: SparkSession, sf_dir: str) -> str:

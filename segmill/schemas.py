@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 
 CATEGORY_LEVELS = 4
 LEVEL_COLUMNS = [f"category_code_{i}" for i in range(1, CATEGORY_LEVELS + 1)]
+# What is left of a path behind the last level, null for most.
+REST_COLUMN = "category_rest"
 
 # Every raw field is read as text: typing happens after the missing-value
 # markers are mapped, so that a bad value is told apart from a missing one.
@@ -21,11 +23,6 @@ RAW_COLUMNS = [
     "user_session",
 ]
 CORRUPT_COLUMN = "_corrupt_record"
-RAW_SCHEMA = T.StructType(
-    [T.StructField(name, T.StringType()) for name in RAW_COLUMNS]
-    + [T.StructField(CORRUPT_COLUMN, T.StringType())]
-)
-
 EVENTS_SCHEMA = T.StructType(
     [
         T.StructField("event_time", T.TimestampType()),
@@ -36,7 +33,7 @@ EVENTS_SCHEMA = T.StructType(
         T.StructField("user_id", T.LongType()),
         T.StructField("user_session", T.StringType()),
     ]
-    + [T.StructField(name, T.StringType()) for name in LEVEL_COLUMNS]
+    + [T.StructField(name, T.StringType()) for name in [*LEVEL_COLUMNS, REST_COLUMN]]
 )
 
 CUSTOMERS_SCHEMA = T.StructType(
@@ -88,6 +85,7 @@ NUMERIC_FEATURES = [
     "modal_weekday",
     "recency_days",
 ]
+# The inputs that are whole numbers.
 INTEGER_FEATURES = [
     "n_clicks",
     "n_carts",

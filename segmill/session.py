@@ -32,12 +32,12 @@ def build_session(app_name: str = "segmill", master: str | None = None, **conf:
 
 
 def shuffle_partitions(input_bytes: int) -> int:
-    """Reduce tasks for a job over ``input_bytes``: about one per GiB read, 200 to 20 000.
+    """Reduce tasks for a job over ``input_bytes``: about one per GiB read, 200 at least.
 
     What is shuffled is pruned and pre-aggregated, so a task stays well within
     an executor's memory; adaptive execution merges those that turn out small.
     """
-    return min(20_000, max(200, -(-input_bytes // 2**30)))
+    return max(200, -(-input_bytes // 2**30))
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:

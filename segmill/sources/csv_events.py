@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segmill.functions.scalars import category_depth, missing_to_null, normalise_text, parse_event_time
 from segmill.operators.cleaning import clean_events
-from segmill.schemas import CATEGORY_LEVELS, CORRUPT_COLUMN, EVENTS_SCHEMA, RAW_COLUMNS, RAW_SCHEMA
+from segmill.schemas import CATEGORY_LEVELS, CORRUPT_COLUMN, EVENTS_SCHEMA, RAW_COLUMNS
 
 SOURCE_COLUMN = "source_file"
 REASON_COLUMN = "reject_reason"
@@ -39,29 +44,77 @@ def _typed(df: DataFrame) -> DataFrame:
     return df.select(
         *[typed[c].alias(c) for c in RAW_COLUMNS],
         reason.alias(REASON_COLUMN),
-        F.to_json(F.struct(*RAW_COLUMNS)).alias("raw_row"),
+        F.when(reason.isNotNull(), F.to_json(F.struct(*RAW_COLUMNS))).alias("raw_row"),
         SOURCE_COLUMN,
         "ordinal",
     )
 
 
-def read_raw(reader, folder: str) -> DataFrame:
-    """Untyped rows with their file and block; ``reader`` is ``spark.read`` or ``spark.readStream``."""
+def csv_files(spark: SparkSession, folder: str) -> list[str]:
+    """The ``*.csv`` files of a flat folder."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(folder, "*.csv")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return [f.getPath().toString() for f in found if f.getPath().getName()[0] not in "._"]
+
+
+def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names in the first line of a file; none in an empty file."""
+    jvm = spark._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    names = next(csv.reader([(line or "").removeprefix("\ufeff")]), [])
+    return tuple(name.strip() for name in names)
+
+
+def _read_alike(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
+    """Raw columns of files that share a header; those it lacks are null.
+
+    Other columns, and a name's second column, are parsed and left out.
+    """
+    names = [
+        name if name in RAW_COLUMNS and name not in header[:i] else f"_other{i}"
+        for i, name in enumerate(header)
+    ]
+    fields = [T.StructField(n, T.StringType()) for n in [*names, CORRUPT_COLUMN]]
     raw = (
-        reader.schema(RAW_SCHEMA)
+        spark.read.schema(T.StructType(fields))
         .option("header", True)
+        .option("escape", '"')
         .option("mode", "PERMISSIVE")
+        .option("columnPruning", False)
         .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
-        .option("pathGlobFilter", "*.csv")
-        .csv(folder)
+        .csv(paths)
     )
+    missing = F.lit(None).cast("string")
     return raw.select(
-        "*",
+        *[(F.col(c) if c in names else missing).alias(c) for c in RAW_COLUMNS],
+        CORRUPT_COLUMN,
         F.col("_metadata.file_path").alias(SOURCE_COLUMN),
         F.col("_metadata.file_block_start").alias("_block"),
     )
 
 
+def read_raw(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """Untyped rows of some files with their file and block, columns by header name.
+
+    The driver reads one line per file; files with the same header are one scan.
+    """
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        if header := header_of(spark, path):
+            alike.setdefault(header, []).append(path)
+    scans = [_read_alike(spark, header, found) for header, found in sorted(alike.items())]
+    if scans:
+        return reduce(DataFrame.unionByName, scans)
+    texts = [T.StructField(c, T.StringType()) for c in [*RAW_COLUMNS, CORRUPT_COLUMN, SOURCE_COLUMN]]
+    return spark.createDataFrame([], T.StructType([*texts, T.StructField("_block", T.LongType())]))
+
+
 def type_raw_rows(raw: DataFrame) -> DataFrame:
     """Typed rows with their place in the file, bad ones marked in ``reject_reason``.
 
@@ -74,7 +127,7 @@ def type_raw_rows(raw: DataFrame) -> DataFrame:
 
 def scan_events_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``*.csv`` of a flat folder, typed, bad rows marked in ``reject_reason``."""
-    return type_raw_rows(read_raw(spark.read, folder))
+    return type_raw_rows(read_raw(spark, csv_files(spark, folder)))
 
 
 def accepted_rows(scanned: DataFrame) -> DataFrame:

@@ -68,25 +68,18 @@ def events_between(stored: DataFrame, start: str, end: str) -> DataFrame:
     return stored.where(months & (F.col("event_time") >= begin) & (F.col("event_time") < stop))
 
 
-def _laid_out_customers(customers: DataFrame, in_id_order: bool) -> DataFrame:
+def _laid_out_customers(customers: DataFrame) -> DataFrame:
     by_name = customers.select(*CUSTOMERS_SCHEMA.names).to(CUSTOMERS_SCHEMA)
-    if not in_id_order:
-        by_name = by_name.repartitionByRange("id_client")
-    return by_name.sortWithinPartitions("id_client")
+    return by_name.repartitionByRange("id_client").sortWithinPartitions("id_client")
 
 
-def write_customers(customers: DataFrame, name: str = "client", in_id_order: bool = False) -> None:
-    """Replaces the customers table; clustered by ``id_client`` for range reads.
-
-    ``in_id_order`` says that each partition already holds a range of ids, as
-    those of ``customer_metrics`` do, and spares the shuffle.
-    """
-    laid_out = _laid_out_customers(customers, in_id_order)
-    laid_out.write.mode("overwrite").format("parquet").saveAsTable(name)
+def write_customers(customers: DataFrame, name: str = "client") -> None:
+    """Replaces the customers table; each file holds an id range of its own."""
+    _laid_out_customers(customers).write.mode("overwrite").format("parquet").saveAsTable(name)
 
 
-def write_customers_path(customers: DataFrame, path: str, in_id_order: bool = False) -> None:
-    _laid_out_customers(customers, in_id_order).write.mode("overwrite").parquet(path)
+def write_customers_path(customers: DataFrame, path: str) -> None:
+    _laid_out_customers(customers).write.mode("overwrite").parquet(path)
 
 
 def read_customers(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segmill.sources.csv_events import clean_scanned, read_raw, type_raw_rows
+from segmill.session import materialize
+from segmill.sources.csv_events import clean_scanned, ingest_report, read_raw, rejected_rows, type_raw_rows
 from segmill.sources.tables import MONTH_COLUMN, STORED_EVENTS_SCHEMA, laid_out_events
 
 BATCH_COLUMN = "ingest_batch"
@@ -18,23 +19,43 @@ def stream_ingest(
     """Starts a query that takes in every new file of ``folder`` once, then stops.
 
     Copies are removed within a file, and a file is never split over batches,
-    so no state is kept and nothing arrives too late. A batch that is run again
-    overwrites its own partitions.
+    so no state is kept and nothing arrives too late. Rejected rows and the report
+    per file go beside the table, into ``_quarantine`` and ``_report``. A batch that
+    is run again overwrites its own partitions in all three.
+
+    The stream only tells which files are new; each batch reads its files by their
+    headers, once.
     """
+    beside = table_path.rstrip("/")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        events = laid_out_events(clean_scanned(type_raw_rows(batch), "file"))
+    def put(rows: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
         (
-            events.withColumn(BATCH_COLUMN, F.lit(batch_id))
+            rows.withColumn(BATCH_COLUMN, F.lit(batch_id))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(BATCH_COLUMN, MONTH_COLUMN)
-            .parquet(table_path)
+            .partitionBy(BATCH_COLUMN, *partitions)
+            .parquet(path)
         )
 
-    raw = read_raw(spark.readStream.option("maxFilesPerTrigger", files_per_batch), folder)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        jvm = batch.sparkSession._jvm
+        paths = [
+            jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row[0])).toString()
+            for row in batch.distinct().collect()
+        ]
+        scanned = materialize(type_raw_rows(read_raw(batch.sparkSession, paths)), "scanned")
+        put(laid_out_events(clean_scanned(scanned, "file")), table_path, batch_id, MONTH_COLUMN)
+        put(rejected_rows(scanned), f"{beside}_quarantine", batch_id)
+        put(ingest_report(scanned), f"{beside}_report", batch_id)
+
+    new_files = (
+        spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+        .option("pathGlobFilter", "*.csv")
+        .text(folder)
+        .select("_metadata.file_path")
+    )
     return (
-        raw.writeStream.foreachBatch(write)
+        new_files.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

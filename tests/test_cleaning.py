@@ -24,11 +24,11 @@ def test_category_levels(spark):
     df = spark.createDataFrame([(p, "x") for p in paths], "category_code string, brand string")
     done = cleaning.fill_category_levels(cleaning.split_category(cleaning.normalise_strings(df)))
     assert [tuple(r)[1:] for r in done.collect()] == [
-        ("a", "unknown", "unknown", "unknown"),
-        ("a", "b", "c", "d"),
-        ("a", "", "b", "unknown"),
-        ("unknown", "unknown", "unknown", "unknown"),
-        ("unknown", "unknown", "unknown", "unknown"),
+        ("a", "unknown", "unknown", "unknown", None),
+        ("a", "b", "c", "d", "e"),
+        ("a", "", "b", "unknown", None),
+        ("unknown", "unknown", "unknown", "unknown", None),
+        ("unknown", "unknown", "unknown", "unknown", None),
     ]
 
 
@@ -116,3 +116,24 @@ def test_first_copy_across_splits_of_a_file(spark, tmp_path):
         assert [r["brand"] for r in csv_events.clean_scanned(scanned).collect()] == ["b0"]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_columns_by_header_name_and_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        "brand,user_session,event_time,note,user_id,product_id,event_type,price,category_code,category_id\n"
+        '"Ac""me, Inc",s1,2019-10-01 00:00:00 UTC,x,7,1,view,1.5,x.y,10\n'
+        '"back\\slash",s1,2019-10-01 00:00:01 UTC,x,8,2,view,2.5,a.b.c.d.e.f,10\n'
+    )
+    write(tmp_path, "b.csv", "2019-10-01 00:00:02 UTC,view,3,10,x,plain,3.5,9,s2")
+    (tmp_path / "c.csv").write_text("event_time,brand\n2019-10-01 00:00:00 UTC,lost\n")
+    (tmp_path / "empty.csv").write_text("")
+    scanned = csv_events.scan_events_csv(spark, str(tmp_path))
+    good = csv_events.accepted_rows(scanned).orderBy("user_id")
+    assert [tuple(r) for r in good.select("brand", "user_id", "product_id", "price", "user_session").collect()] == [
+        ('Ac"me, Inc', 7, 1, 1.5, "s1"),
+        ("back\\slash", 8, 2, 2.5, "s1"),
+        ("plain", 9, 3, 3.5, "s2"),
+    ]
+    assert [r["reject_reason"] for r in csv_events.rejected_rows(scanned).collect()] == ["missing event_type"]
+    events = csv_events.ingest_folder(spark, str(tmp_path)).orderBy("user_id").collect()
+    assert [r["category_rest"] for r in events] == [None, "e.f", None]

@@ -41,4 +41,4 @@ def test_from_csv_to_segments(spark, tmp_path):
 def test_shuffle_partitions():
     assert shuffle_partitions(0) == 200
     assert shuffle_partitions(10**12) == 932
-    assert shuffle_partitions(10**14) == 20_000
+    assert shuffle_partitions(10**14) == 93_133

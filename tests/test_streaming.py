@@ -27,6 +27,23 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     assert streamed.select("ingest_batch").distinct().count() == 3
 
 
+def test_ingest_keeps_bad_rows_and_reports(spark, tmp_path):
+    folder, table = tmp_path / "csv", str(tmp_path / "events")
+    folder.mkdir()
+    write(folder, "a b.csv", "2019-10-01 00:00:00 UTC,view,1,10,x.y,A,1.5,7,s1", "broken", "no,,,,,,,,")
+    (folder / "b.csv").write_text(
+        "user_session,user_id,price,brand,category_code,category_id,product_id,event_type,event_time\n"
+        "s2,8,2.5,B,x,1,2,cart,2019-10-01 00:00:01 UTC\n"
+    )
+    stream_ingest(spark, str(folder), table, str(tmp_path / "offsets")).awaitTermination()
+    stored = read_streamed_events(spark, table)
+    assert sorted((r["user_id"], r["brand"]) for r in stored.collect()) == [(7, "a"), (8, "b")]
+    bad = spark.read.parquet(f"{table}_quarantine")
+    assert bad.count() == 2 and {r["ingest_batch"] for r in bad.collect()} == {0}
+    report = spark.read.parquet(f"{table}_report").orderBy("rows_read").collect()
+    assert [(r["rows_read"], r["rows_rejected"], r["rows_inserted"]) for r in report] == [(1, 0, 1), (3, 2, 1)]
+
+
 def test_minibatch_versions(spark, tmp_path):
     matrix, centres, offsets = (str(tmp_path / n) for n in ("matrix", "centres", "offsets"))
     rows = [(i, Vectors.dense([float(i % 2) * 10, float(i % 5)])) for i in range(100)]

@@ -40,7 +40,7 @@ def test_catalog_tables(spark):
 
 def test_time_range_reads_its_months_only(spark, tmp_path):
     times = [datetime(2024, m, d) for m in range(1, 7) for d in (1, 15)]
-    rows = [(t, "view", 1, "b", 1.0, 1, "s", "a", "b", "c", "d") for t in times]
+    rows = [(t, "view", 1, "b", 1.0, 1, "s", "a", "b", "c", "d", None) for t in times]
     path = str(tmp_path / "events")
     tables.append_events_path(spark.createDataFrame(rows, EVENTS_SCHEMA), path)
     found = tables.events_between(tables.read_events(spark, path), "2024-02-10", "2024-04-01")
@@ -60,3 +60,27 @@ def test_id_range_is_inclusive_and_pushed_down(spark, tmp_path):
     plan = plan_of(found)
     assert "GreaterThanOrEqual(id_client,10)" in plan and "LessThanOrEqual(id_client,20)" in plan
     assert "ReadSchema: struct<id_client:bigint,n_clicks:bigint>" in plan
+
+
+def test_files_hold_disjoint_id_ranges(spark, tmp_path):
+    path = str(tmp_path / "client")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        customers = spark.range(20_000).select(
+            *[
+                (F.col("id") * 7919 % 20_000 if f.name == "id_client" else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in CUSTOMERS_SCHEMA
+            ]
+        )
+        tables.write_customers_path(customers.repartition(16), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    ranges = (
+        tables.read_customers(spark, path)
+        .groupBy(F.input_file_name().alias("file"))
+        .agg(F.min("id_client").alias("low"), F.max("id_client").alias("high"))
+        .orderBy("low")
+        .collect()
+    )
+    assert len(ranges) > 4
+    assert all(a["high"] < b["low"] for a, b in zip(ranges, ranges[1:]))
