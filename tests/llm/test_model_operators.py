@@ -39,7 +39,7 @@ def docs(spark):
     rows += [(10, copied), (11, copied), (11, copied), (12, copied + " end")]
     rows += [(20, None), (21, ""), (22, "short"), (None, copied[:700]), (23, "To " * 900)]
     rows += [(24, prose(20_000))]
-    return spark.createDataFrame([(i, t, t and len(t), 0) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, None if t is None else len(t), 0) for i, t in rows], DOCS)
 
 
 def brute_bytes(texts):
