@@ -19,17 +19,40 @@ from pyspark.sql import functions as F
 from segmill.operators import clustering, density, features, metrics, projection
 from segmill.session import build_session, materialize, shuffle_partitions
 from segmill.sources import csv_events, tables
+from segmill.streaming.ingest import ingest_files
 
 
 def ingest(spark: SparkSession, csv: str, events: str, quarantine: str, scope: str = "file") -> DataFrame:
-    """Appends the cleaned rows of a folder, sets bad rows aside, reports per file.
+    """Takes in the files of a folder that are not in the report yet, as the next batch; returns its report.
 
-    The folder is parsed once; the three outputs start from the typed rows as written.
+    The report is written last. A run that fails before is not in it, so the next run
+    takes the same files and the same number and replaces what the failed one left.
     """
-    scanned = materialize(csv_events.scan_events_csv(spark, csv), "scanned")
-    tables.append_events_path(csv_events.clean_scanned(scanned, scope), events)
-    tables.save_quarantine(csv_events.rejected_rows(scanned), quarantine)
-    return csv_events.ingest_report(scanned, scope)
+    report = f"{events.rstrip('/')}_report"
+    done, batch = _reported(spark, report)
+    paths = [path for path in csv_events.csv_files(spark, csv) if path not in done]
+    ingest_files(spark, paths, events, quarantine, report, batch, scope)
+    return spark.read.parquet(f"{report}/{tables.BATCH_COLUMN}={batch}")
+
+
+def _reported(spark: SparkSession, report: str) -> tuple[set[str], int]:
+    """Files in the report, and the number of the batch that follows."""
+    if not _exists(spark, report):
+        return set(), 0
+    rows = spark.read.parquet(report).select(csv_events.SOURCE_COLUMN, tables.BATCH_COLUMN).collect()
+    files = {csv_events.plain_path(spark, row[0]) for row in rows}
+    return files, max((row[1] for row in rows), default=-1) + 1
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def bytes_under(spark: SparkSession, path: str) -> int:
+    """Size of the files under a path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
 
 
 def customers(spark: SparkSession, events: str, customers: str, as_of: str) -> None:
@@ -73,7 +96,7 @@ def density_labels(spark: SparkSession, customers: str, out: str, min_size: int
 
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("--input-bytes", type=int, help="size of the input, to choose the number of reduce tasks")
+    parser.add_argument("--input-bytes", type=int, help="size of the input, where it is not that of its files")
     steps = parser.add_subparsers(dest="step", required=True)
     for step, names in {
         "ingest": ["csv", "events", "quarantine"],
@@ -92,12 +115,12 @@ def main() -> None:
             command.add_argument("--batch-ids", type=int)
     given = vars(parser.parse_args())
     step, input_bytes = given.pop("step"), given.pop("input_bytes")
-    sized = {"spark__sql__shuffle__partitions": str(shuffle_partitions(input_bytes))} if input_bytes else {}
-    spark = build_session(f"segmill-{step}", **sized)
+    spark = build_session(f"segmill-{step}")
+    source = given[{"ingest": "csv", "customers": "events"}.get(step, "customers")]
+    size = input_bytes or bytes_under(spark, source)
+    spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions(size)))
     run = {"ingest": ingest, "customers": customers, "elbow": elbow, "segments": segments, "density": density_labels}
-    report = run[step](spark, **given)
-    if report is not None:
-        report.write.mode("append").parquet(given["events"].rstrip("/") + "_report")
+    run[step](spark, **given)
 
 
 if __name__ == "__main__":

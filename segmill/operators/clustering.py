@@ -66,6 +66,11 @@ def _fit(matrix: DataFrame, k: int, seed: int, max_iter: int = MAX_ITERATIONS) -
     return model
 
 
+def require_rows(matrix: DataFrame, k: int) -> None:
+    if matrix.limit(k).count() < k:
+        raise ValueError(f"{k} clusters need at least {k} rows")
+
+
 def _size_order(model: KMeansModel) -> list[int]:
     """Cluster numbers by descending size, then by first coordinate."""
     sizes, centres = model.summary.clusterSizes, model.clusterCenters()
@@ -73,19 +78,19 @@ def _size_order(model: KMeansModel) -> list[int]:
 
 
 def kmeans_fit(matrix: DataFrame, k: int = 3, seed: int = 42) -> list[list[float]]:
-    """Centres of a full k-means, largest cluster first; not more than there are rows."""
-    few = matrix.limit(k).select("features").collect()
-    if len(few) < 2:
-        return [row["features"].toArray().tolist() for row in few]
-    model = _fit(matrix, len(few), seed)
+    """Centres of a full k-means, largest cluster first; fewer where rows repeat too often."""
+    require_rows(matrix, k)
+    if k == 1:
+        return [matrix.select(Summarizer.mean(F.col("features"))).first()[0].toArray().tolist()]
+    model = _fit(matrix, k, seed)
     centres = model.clusterCenters()
     return [centres[i].tolist() for i in _size_order(model)]
 
 
 def kmeans_labels(matrix: DataFrame, k: int = 3, seed: int = 42, into: str = "label") -> DataFrame:
     """``matrix`` with the cluster of a full k-means, numbered by size."""
-    k = matrix.limit(k).count()
-    if k < 2:
+    require_rows(matrix, k)
+    if k == 1:
         return matrix.withColumn(into, F.lit(0))
     model = _fit(matrix, k, seed)
     order = _size_order(model)
@@ -102,16 +107,13 @@ def kmeans_elbow(
 ) -> DataFrame:
     """``k, inertia`` per k, over a matrix cached once for all the fits."""
     cached = matrix.persist(StorageLevel.MEMORY_AND_DISK)
-    n_rows = cached.limit(max(k_values)).count()
-
     def inertia(k: int) -> float:
         if k == 1:
             return total_inertia(cached)
-        if n_rows < max(k_values) and k >= n_rows:
-            return 0.0
         return float(_fit(cached, k, seed).summary.trainingCost)
 
     try:
+        require_rows(cached, max(k_values))
         with ThreadPoolExecutor(parallelism) as pool:
             curve = list(zip(k_values, pool.map(inertia, k_values)))
     finally:
@@ -169,8 +171,7 @@ def minibatch_kmeans(
     seeded k-means on the first batch, or on more where that has under k rows.
     """
     top = matrix.agg(F.max("id_client")).first()[0]
-    if top is None:
-        return [], []
+    require_rows(matrix, k)
     width = batch_ids or -(-(top + 1) // batches)
     first = width
     while first <= top and matrix.where(F.col("id_client") < first).limit(k).count() < k:

@@ -10,13 +10,14 @@ found exactly without comparing all points of a crowded spot:
   all neighbours, and a cell of ``min_points`` points is core throughout;
 * only the points of thinner cells look for neighbours, each cell having less
   than ``min_points`` of them;
-* whether two cells touch is settled on bounding boxes, halved again and again
-  only where the boxes leave it open;
+* whether two cells touch is settled on bounding boxes, split again and again
+  only where the boxes leave it open, and on the points of small boxes;
 * clusters are connected components of cells, not of points.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,8 @@ FORWARD_CELLS = [(dx, dy) for dx, dy in NEAR_CELLS if (dx, dy) > (0, 0)]
 SLICE_POINTS = 10_000
 # A box is cut into SPLIT x SPLIT smaller ones per round.
 SPLIT = 4
+# Open pairs of boxes with no more pairs of places than this are compared place by place.
+COMPARED = 4096
 
 
 def _with_cells(points: DataFrame, eps: float) -> DataFrame:
@@ -54,11 +57,12 @@ def _shifted(offsets: list[tuple[int, int]]) -> Column:
     )
 
 
-def density_core_points(points: DataFrame, eps: float, min_points: int = 10) -> DataFrame:
-    """``id_client, x, y, cx, cy, neighbours, is_core`` from stored ``id_client, x, y``.
+def density_core_points(
+    points: DataFrame, eps: float, min_points: int = 10, slice_points: int = SLICE_POINTS
+) -> DataFrame:
+    """``id_client, x, y, cx, cy, is_core`` from stored ``id_client, x, y``.
 
-    ``neighbours`` counts the points within ``eps`` up to ``min_points``, which
-    is as far as being core depends on it.
+    A hot cell is searched in slices of at least ``slice_points`` points.
     """
     n_points = points.count()
     placed = _with_cells(points, eps)
@@ -69,7 +73,7 @@ def density_core_points(points: DataFrame, eps: float, min_points: int = 10) ->
     thin = counted.where(F.col("n") < min_points)
     # The points of a hot cell are cut into slices, each about 1/SLICES of all
     # points, and a probe goes to each slice: at most 2 * SLICES slices in all.
-    per_slice = max(SLICE_POINTS, -(-n_points // SLICES))
+    per_slice = max(slice_points, -(-n_points // SLICES))
     slices = F.ceil(F.col("n") / per_slice).cast("int").alias("_slices")
     hot = F.broadcast(
         cells.where(is_hot(F.lit(n_points)) & (F.col("n") > per_slice)).select(
@@ -98,19 +102,27 @@ def density_core_points(points: DataFrame, eps: float, min_points: int = 10) ->
     )
     columns = ["id_client", "x", "y", "cx", "cy"]
     # the points of its own cell are all neighbours
-    neighbours = F.least(F.col("n") + F.coalesce("found", F.lit(0)), F.lit(min_points)).alias("neighbours")
-    thin_counts = thin.join(found, "id_client", "left").select(*columns, neighbours)
-    crowded_counts = crowded.select(*columns, F.lit(min_points).cast("bigint").alias("neighbours"))
-    return crowded_counts.unionAll(thin_counts).withColumn("is_core", F.col("neighbours") >= min_points)
+    enough = F.col("n") + F.coalesce("found", F.lit(0)) >= min_points
+    searched = thin.join(found, "id_client", "left").select(*columns, enough.alias("is_core"))
+    return crowded.select(*columns, F.lit(True).alias("is_core")).unionAll(searched)
 
 
-def _boxes(core: DataFrame, side: float, level: int) -> DataFrame:
-    """Bounding boxes of the core points per sub-cell, ``level`` splits below the cell."""
+def _with_sub_cells(places: DataFrame, side: float, level: int) -> DataFrame:
+    """Places with the index of their sub-cell, ``level`` splits below the cell."""
     steps = SPLIT**level
-    sub_x = F.floor((F.col("x") / side - F.col("cx")) * steps)
-    sub_y = F.floor((F.col("y") / side - F.col("cy")) * steps)
-    return core.groupBy("cx", "cy", sub_x.alias("sx"), sub_y.alias("sy")).agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
+    return places.withColumns(
+        {f"s{c}": F.floor((F.col(c) / side - F.col(f"c{c}")) * steps) for c in "xy"}
+    )
+
+
+def _boxes(placed: DataFrame) -> DataFrame:
+    """Bounding box and number of the places in each sub-cell."""
+    return placed.groupBy("cx", "cy", "sx", "sy").agg(
+        F.min("x").alias("x0"),
+        F.max("x").alias("x1"),
+        F.min("y").alias("y0"),
+        F.max("y").alias("y1"),
+        F.count("*").alias("n"),
     )
 
 
@@ -130,47 +142,74 @@ def _box_state(eps: float) -> Column:
 
 
 PAIR = ["a_cx", "a_cy", "b_cx", "b_cy"]
+BOX = ["cx", "cy", "sx", "sy"]
 
 
 def _prefixed(boxes: DataFrame, prefix: str) -> DataFrame:
     return boxes.select([F.col(c).alias(prefix + c) for c in boxes.columns])
 
 
+def _cells_of(pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """The cells or boxes on either side of some pairs."""
+    sides = [pairs.select(*[F.col(f"{side}_{c}").alias(c) for c in columns]) for side in "ab"]
+    return sides[0].unionAll(sides[1]).distinct()
+
+
+def _compared(placed: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+    """Those of some pairs of small boxes that have places within ``eps`` of each other."""
+    wanted = placed.join(_cells_of(pairs, BOX), BOX, "left_semi")
+    keys = {side: [f"{side}_{c}" for c in BOX] for side in "ab"}
+    dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
+    return (
+        pairs.select(*keys["a"], *keys["b"])
+        .join(_prefixed(wanted, "a_"), keys["a"])
+        .join(_prefixed(wanted, "b_"), keys["b"])
+        .where(dx * dx + dy * dy <= eps * eps)
+        .select(*PAIR)
+    )
+
+
 def _touching_cells(core: DataFrame, eps: float) -> DataFrame:
-    """Pairs of different cells with core points within ``eps`` of each other."""
+    """Pairs of different cells with core points within ``eps`` of each other.
+
+    Places that no split tells apart are few, so in the end every pair of boxes is
+    settled or small.
+    """
     side = eps / sqrt(2)
-    boxes = _boxes(core, side, 0)
+    state = _box_state(eps)
+    small = F.col("a_n") * F.col("b_n") <= COMPARED
+    # copies settle nothing
+    places = materialize(core.select("cx", "cy", "x", "y").distinct(), "places")
+    placed = _with_sub_cells(places, side, 0)
+    boxes = _boxes(placed)
     near = boxes.select("*", _shifted(FORWARD_CELLS).alias("t")).select(
         *[F.col(c).alias(f"a_{c}") for c in boxes.columns],
         F.col("t.tx").alias("b_cx"),
         F.col("t.ty").alias("b_cy"),
     )
-    state = _box_state(eps)
-    pairs = near.join(_prefixed(boxes, "b_"), ["b_cx", "b_cy"]).withColumn("state", state)
-    settled = materialize(pairs.where(F.coalesce("state", F.lit(True))), "pairs")
-    touching = settled.where("state").select(*PAIR)
-    open_pairs = settled.where("state is null")
-    level = 0
-    while not open_pairs.isEmpty():
+    pairs = near.join(_prefixed(boxes, "b_"), ["b_cx", "b_cy"])
+    touching, level = [], 0
+    while True:
+        settled = materialize(pairs.withColumn("state", state).where(F.coalesce("state", F.lit(True))), "pairs")
+        still_open = settled.where("state is null")
+        compared = _compared(placed, still_open.where(small), eps)
+        found = materialize(settled.where("state").select(*PAIR).unionAll(compared).distinct(), "touching")
+        touching.append(found)
+        still_open = still_open.where(~small).join(found, PAIR, "left_anti")
+        if still_open.isEmpty():
+            return reduce(DataFrame.unionAll, touching).distinct()
         level += 1
-        # every child carries the number of its parent box
-        children = _boxes(core, side, level).withColumns(
-            {"px": F.floor(F.col("sx") / SPLIT), "py": F.floor(F.col("sy") / SPLIT)}
-        )
-        parents = open_pairs.select(
+        # only the cells of open pairs are split further; every child carries its parent's index
+        open_places = places.join(_cells_of(still_open, ["cx", "cy"]), ["cx", "cy"], "left_semi")
+        placed = _with_sub_cells(open_places, side, level)
+        children = _boxes(placed).withColumns({f"p{c}": F.floor(F.col(f"s{c}") / SPLIT) for c in "xy"})
+        parents = still_open.select(
             *PAIR,
             *[F.col(f"{s}_s{axis}").alias(f"{s}_p{axis}") for s in "ab" for axis in "xy"],
         )
-        finer = (
-            parents.join(_prefixed(children, "a_"), ["a_cx", "a_cy", "a_px", "a_py"])
-            .join(_prefixed(children, "b_"), ["b_cx", "b_cy", "b_px", "b_py"])
-            .withColumn("state", state)
+        pairs = parents.join(_prefixed(children, "a_"), ["a_cx", "a_cy", "a_px", "a_py"]).join(
+            _prefixed(children, "b_"), ["b_cx", "b_cy", "b_px", "b_py"]
         )
-        settled = materialize(finer.where(F.coalesce("state", F.lit(True))), "pairs")
-        found = settled.where("state").select(*PAIR).distinct()
-        touching = touching.unionAll(found)
-        open_pairs = settled.where("state is null").join(found, PAIR, "left_anti")
-    return touching.distinct()
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -218,8 +257,8 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def _node(x: str, y: str) -> Column:
-    """A cell as one number."""
-    return F.shiftleft(F.col(x), 32).bitwiseOR(F.col(y).bitwiseAND(0xFFFFFFFF))
+    """A cell as one value, ordered by cx, then cy."""
+    return F.struct(F.col(x).alias("cx"), F.col(y).alias("cy"))
 
 
 def density_clusters(
@@ -247,14 +286,36 @@ def density_clusters(
     return labelled.select("id_client", "x", "y", label.alias("label"))
 
 
-def suggest_eps(points: DataFrame, min_points: int = 10, share: float = 0.9, candidates: int = 24) -> float:
-    """The smallest of a doubling ladder of radii that makes ``share`` of the points certainly core.
+def suggest_eps(points: DataFrame, min_points: int = 10, share: float = 0.9, rungs: int = 16) -> float:
+    """The smallest of a halving ladder of radii that makes ``share`` of the points certainly core.
 
-    Looks at cell counts only: one pass, all radii at once.
+    Starts from the width of the points and looks at cell counts only, ``rungs`` radii
+    in one pass. Finer cells lie within coarser ones, so the first radius that does not
+    fit ends the ladder, or the precision of the coordinates. Raises where none fits.
     """
-    row = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    width = max(row[0] or 0.0, row[1] or 0.0) or 1.0
-    ladder = [width * 2.0**-i for i in range(candidates)]
+    ends = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if any(end is None for end in ends):
+        raise ValueError("no points to choose a radius from")
+    width = max(ends[1] - ends[0], ends[3] - ends[2]) or 1.0
+    finest = max(abs(end) for end in ends) * 2.0**-52
+    ladder = [width]
+    while ladder[-1] / 2 > max(finest, width * 2.0**-60):
+        ladder.append(ladder[-1] / 2)
+    fitting = 0
+    while fitting < len(ladder):
+        tried = ladder[fitting : fitting + rungs]
+        shares = _certain_shares(points, tried, min_points)
+        good = sum(found >= share for found in shares)
+        fitting += good
+        if good < len(tried):
+            break
+    if not fitting:
+        raise ValueError(f"no radius makes {share:.0%} of the points core with {min_points} neighbours")
+    return ladder[fitting - 1]
+
+
+def _certain_shares(points: DataFrame, radii: list[float], min_points: int) -> list[float]:
+    """Per radius, the share of points in cells of at least ``min_points``."""
     tried = F.explode(
         F.array(
             *[
@@ -263,16 +324,13 @@ def suggest_eps(points: DataFrame, min_points: int = 10, share: float = 0.9, can
                     F.floor(F.col("x") / (eps / sqrt(2))).alias("cx"),
                     F.floor(F.col("y") / (eps / sqrt(2))).alias("cy"),
                 )
-                for i, eps in enumerate(ladder)
+                for i, eps in enumerate(radii)
             ]
         )
     )
     cells = points.select(tried.alias("c")).groupBy("c").agg(F.count("*").alias("n"))
-    shares = cells.groupBy("c.i").agg(
-        (F.sum(F.when(F.col("n") >= min_points, F.col("n")).otherwise(0)) / F.sum("n")).alias("share")
-    )
-    fitting = [r["i"] for r in shares.collect() if r["share"] >= share]
-    return ladder[max(fitting)] if fitting else width
+    certain = F.sum(F.when(F.col("n") >= min_points, F.col("n")).otherwise(0)) / F.sum("n")
+    return [row["share"] for row in cells.groupBy("c.i").agg(certain.alias("share")).orderBy("i").collect()]
 
 
 def density_noise_share(labels: DataFrame) -> DataFrame:

@@ -88,8 +88,13 @@ def _category_count() -> Column:
     return F.size(F.collect_set("category_code_1_clean")).cast("long").alias("unique_categories")
 
 
+def known_users(events: DataFrame) -> DataFrame:
+    """Events without a user count for top lists, but belong to no customer."""
+    return events.where(F.col("user_id").isNotNull())
+
+
 def funnel_counts(events: DataFrame) -> DataFrame:
-    return events.groupBy("user_id").agg(*_count_columns())
+    return known_users(events).groupBy("user_id").agg(*_count_columns())
 
 
 def funnel_ratios(events: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def funnel_ratios(events: DataFrame) -> DataFrame:
 
 def product_metrics(events: DataFrame) -> DataFrame:
     """Distinct products, decision delay and revisit rate, through (user, product)."""
-    per_product = events.groupBy("user_id", "product_id").agg(
+    per_product = known_users(events).groupBy("user_id", "product_id").agg(
         F.count("*").alias("n"),
         F.count_if(_is("view")).alias("views"),
         second_difference(
@@ -119,7 +124,7 @@ def product_metrics(events: DataFrame) -> DataFrame:
 
 def session_metrics(events: DataFrame) -> DataFrame:
     """Number of sessions and mean session length over event rows."""
-    per_session = events.groupBy("user_id", "user_session").agg(
+    per_session = known_users(events).groupBy("user_id", "user_session").agg(
         F.count("*").alias("n"),
         elapsed_seconds(F.min("event_time"), F.max("event_time")).alias("length"),
     )
@@ -130,7 +135,7 @@ def session_metrics(events: DataFrame) -> DataFrame:
 
 
 def user_distincts(events: DataFrame, n_categories: int = TOP_CATEGORIES) -> DataFrame:
-    categories = collapse_rare_category(events, n_categories).groupBy("user_id").agg(_category_count())
+    categories = known_users(collapse_rare_category(events, n_categories)).groupBy("user_id").agg(_category_count())
     return (
         categories.join(product_metrics(events), "user_id")
         .join(session_metrics(events), "user_id")
@@ -142,11 +147,11 @@ def user_modal_values(
     events: DataFrame, n_brands: int = TOP_BRANDS, n_categories: int = TOP_CATEGORIES
 ) -> DataFrame:
     folded = collapse_rare_category(collapse_rare_brand(events, n_brands), n_categories)
-    return folded.groupBy("user_id").agg(*_modal_columns())
+    return known_users(folded).groupBy("user_id").agg(*_modal_columns())
 
 
 def user_spend(events: DataFrame) -> DataFrame:
-    return events.groupBy("user_id").agg(*_spend_columns())
+    return known_users(events).groupBy("user_id").agg(*_spend_columns())
 
 
 def session_length(events: DataFrame) -> DataFrame:
@@ -154,7 +159,7 @@ def session_length(events: DataFrame) -> DataFrame:
 
 
 def user_lifespan(events: DataFrame, as_of: str) -> DataFrame:
-    return events.groupBy("user_id").agg(*_lifetime_columns(F.lit(as_of).cast("date")))
+    return known_users(events).groupBy("user_id").agg(*_lifetime_columns(F.lit(as_of).cast("date")))
 
 
 def decision_delay(events: DataFrame) -> DataFrame:
@@ -177,7 +182,7 @@ def user_metrics(
     joins need no further shuffle.
     """
     folded = collapse_rare_category(collapse_rare_brand(events, n_brands), n_categories)
-    per_user = folded.groupBy("user_id").agg(
+    per_user = known_users(folded).groupBy("user_id").agg(
         *_count_columns(),
         _category_count(),
         *_modal_columns(),

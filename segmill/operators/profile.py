@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from math import sqrt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segmill.operators.ids import assign_dense_id
-from segmill.session import materialize
+
+# Ranges that random draws are counted in; their counts are all that the driver gets.
+DRAW_RANGES = 1 << 14
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -35,17 +35,17 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
 def random_sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` random rows (all rows when there are fewer).
 
-    The ``n`` smallest of a random draw per row. Slightly more than ``n`` rows
-    are drawn first and ranked among themselves, in as many tasks as they need.
-    Should the draw fall short, every row is ranked.
+    The ``n`` smallest of a random draw per row. Counts per range of draws tell which
+    ranges hold them; only rows of these are ranked, in as many tasks as they need.
+    ``df`` is read twice and should give its rows in the same partitions again, as a
+    stored table does.
     """
-    rows = df.count()
-    if n >= rows:
-        return df
     drawn = df.withColumn("_draw", F.rand(seed))
-    share = (n + 6 * sqrt(n) + 10) / rows
-    if share < 1:
-        stored = materialize(drawn.where(F.col("_draw") < share), "sample")
-        if stored.count() >= n:
-            drawn = stored
-    return assign_dense_id(drawn, ["_draw"], "_rank").where(F.col("_rank") < n).drop("_draw", "_rank")
+    counts = drawn.groupBy(F.floor(F.col("_draw") * DRAW_RANGES).alias("range")).agg(F.count("*").alias("n"))
+    seen, last = 0, 0
+    for row in sorted(counts.collect()):
+        if seen >= n:
+            break
+        seen, last = seen + row["n"], row["range"]
+    near = drawn.where(F.floor(F.col("_draw") * DRAW_RANGES) <= last)
+    return assign_dense_id(near, ["_draw"], "_rank").where(F.col("_rank") < n).drop("_draw", "_rank")

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 # A group is hot once it holds more than 1/SLICES of all rows, so there are
 # fewer than SLICES hot groups whatever the data: that bounds the broadcast.
 SLICES = 10_000
-# A task takes this many rows without trouble, even if they are one group.
-ONE_TASK_ROWS = 1_000_000
 
 
 def is_hot(whole: Column, count: str = "n") -> Column:
@@ -46,15 +44,9 @@ def join_totals(
     and its input partition, so exact copies spread as well, and a retried
     task sends every row where it went before.
 
-    ``n_rows``, when the caller has counted, spares the split for a small
-    input and the count for a large one.
+    ``n_rows``, when the caller has counted, spares the count.
     """
     columns = rows.columns
-    if n_rows is not None and n_rows <= ONE_TASK_ROWS:
-        right = _prefixed(totals, [*keys, *values], "_c_")
-        joined = rows.join(right, _match(rows, right, keys, "_c_"), "left")
-        return joined.select(*columns, *[F.col(f"_c_{v}").alias(v) for v in values])
-
     whole = F.lit(n_rows) if n_rows is not None else rows.agg(F.count("*")).scalar()
     # Both sides of the split use the same columns in the same order (the count
     # first, as in ``totals``), so the shuffle of the totals runs once.

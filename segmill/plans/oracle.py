@@ -12,6 +12,7 @@ from segmill.plans.settings import (
     FIRST_ID,
     LAST_ID,
     MIN_CLUSTER_SIZE,
+    HOT_MIN_POINTS,
     MIN_POINTS,
     N_BRANDS,
     N_CATEGORIES,
@@ -178,7 +179,7 @@ NEIGHBOURS = f"""{SCALED},
 points as (select id_client, {_x}_z as x, {_y}_z as y,
     cast(floor({_x}_z / {EPS / 2**0.5!r}) as bigint) as cx, cast(floor({_y}_z / {EPS / 2**0.5!r}) as bigint) as cy
   from scaled),
-near as (select a.id_client, a.x, a.y, a.cx, a.cy, least(count(*), {MIN_POINTS}) as neighbours
+near as (select a.id_client, a.x, a.y, a.cx, a.cy, count(*) as neighbours
   from points a join points b
     on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS * EPS!r}
   group by all)"""
@@ -193,7 +194,7 @@ reach(node, root) as (
   union
   select l.v, r.root from reach r join linked l on l.u = r.node),
 roots as (select node, min(root) as root from reach group by node),
-sizes as (select root, count(*) as size, min(cx * 4294967296 + (cy & 4294967295)) as cell
+sizes as (select root, count(*) as size, min({{'x': cx, 'y': cy}}) as cell
   from roots join core on core.id_client = roots.node group by root),
 numbered as (select root, cast(row_number() over (order by size desc, cell) - 1 as int) as label
   from sizes where size >= {MIN_CLUSTER_SIZE}),
@@ -320,8 +321,9 @@ def oracle_sql() -> dict[str, str]:
   select a.name as i, b.name as j, round(covar_pop(a.value, b.value), 6) + 0.0 as covariance
   from l a join l b on a.id_client = b.id_client and a.k <= b.k group by a.name, b.name""",
         "density_core_points": f"""with {NEIGHBOURS}
-  select id_client, round(x, 6) as x, round(y, 6) as y, cast(neighbours as bigint) as neighbours,
-    neighbours >= {MIN_POINTS} as is_core from near""",
+  select id_client, round(x, 6) as x, round(y, 6) as y, neighbours >= {MIN_POINTS} as is_core from near""",
+        "density_hot_cells": f"""with {NEIGHBOURS}
+  select id_client, neighbours >= {HOT_MIN_POINTS} as is_core from near""",
         "density_clusters": f"with recursive {DENSITY} select id_client, round(x, 6) as x, round(y, 6) as y, label from labels",
         "density_noise_share": f"""with recursive {DENSITY}
   select label, count(*) as n_points, round(count(*) / (select count(*) from labels), 6) as share

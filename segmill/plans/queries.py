@@ -302,6 +302,12 @@ def core_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _point_output(found.drop("cx", "cy"))
 
 
+def hot_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Core points where thin cells look into cells that are cut into slices."""
+    found = density.density_core_points(_points(spark, sf_dir), s.EPS, s.HOT_MIN_POINTS, s.HOT_SLICE_POINTS)
+    return found.select("id_client", "is_core")
+
+
 def _density_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.density_clusters(_points(spark, sf_dir), s.EPS, s.MIN_POINTS, s.MIN_CLUSTER_SIZE)
 
@@ -398,6 +404,7 @@ def queries() -> dict[str, Query]:
         "feature_covariance": covariance,
         "cluster_scatter": scatter,
         "density_core_points": core_points,
+        "density_hot_cells": hot_cells,
         "density_clusters": density_labels,
         "density_noise_share": noise_share,
         "density_scatter": density_scatter,

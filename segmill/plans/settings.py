@@ -20,3 +20,6 @@ DENSITY_COLUMNS = ["total_spent", "avg_session_len_sec"]
 EPS = 0.2
 MIN_POINTS = 4
 MIN_CLUSTER_SIZE = 4
+# For the query in which hot cells are searched in slices.
+HOT_MIN_POINTS = 8
+HOT_SLICE_POINTS = 2

@@ -58,6 +58,12 @@ def csv_files(spark: SparkSession, folder: str) -> list[str]:
     return [f.getPath().toString() for f in found if f.getPath().getName()[0] not in "._"]
 
 
+def plain_path(spark: SparkSession, uri: str) -> str:
+    """A ``source_file`` as a path to read."""
+    jvm = spark._jvm
+    return jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString()
+
+
 def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
     """Column names in the first line of a file; none in an empty file."""
     jvm = spark._jvm

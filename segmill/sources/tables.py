@@ -10,6 +10,7 @@ from segmill.functions.scalars import month_of
 from segmill.schemas import CUSTOMERS_SCHEMA, EVENTS_SCHEMA
 
 MONTH_COLUMN = "event_month"
+BATCH_COLUMN = "ingest_batch"
 STORED_EVENTS_SCHEMA = T.StructType([*EVENTS_SCHEMA.fields, T.StructField(MONTH_COLUMN, T.StringType())])
 
 
@@ -53,12 +54,18 @@ def append_events(events: DataFrame, name: str = "events") -> None:
     laid_out_events(events).write.mode("append").format("parquet").partitionBy(MONTH_COLUMN).saveAsTable(name)
 
 
+def replace_batch(rows: DataFrame, path: str, batch: int, *partitions: str) -> None:
+    """Writes a batch as a directory of its own; a repeated batch takes the place of the first."""
+    rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path.rstrip('/')}/{BATCH_COLUMN}={batch}")
+
+
 def append_events_path(events: DataFrame, path: str) -> None:
     laid_out_events(events).write.mode("append").partitionBy(MONTH_COLUMN).parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED_EVENTS_SCHEMA).parquet(path)
+    """The events of a table, whether it has batches or not."""
+    return spark.read.schema(STORED_EVENTS_SCHEMA).parquet(path).select(*STORED_EVENTS_SCHEMA.names)
 
 
 def events_between(stored: DataFrame, start: str, end: str) -> DataFrame:
@@ -91,10 +98,6 @@ def customers_by_id_range(customers: DataFrame, start: int, end: int) -> DataFra
     return customers.where(F.col("id_client").between(start, end))
 
 
-def save_quarantine(rejected: DataFrame, path: str) -> None:
-    rejected.write.mode("append").parquet(path)
-
-
 def save_centres(centres: DataFrame, path: str) -> None:
     """``cluster, center, weight``: the state of a mini-batch model."""
     centres.coalesce(1).write.mode("overwrite").parquet(path)

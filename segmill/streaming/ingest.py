@@ -3,14 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segmill.session import materialize
-from segmill.sources.csv_events import clean_scanned, ingest_report, read_raw, rejected_rows, type_raw_rows
-from segmill.sources.tables import MONTH_COLUMN, STORED_EVENTS_SCHEMA, laid_out_events
+from segmill.sources.csv_events import (
+    clean_scanned,
+    ingest_report,
+    plain_path,
+    read_raw,
+    rejected_rows,
+    type_raw_rows,
+)
+from segmill.sources.tables import (
+    BATCH_COLUMN,
+    MONTH_COLUMN,
+    STORED_EVENTS_SCHEMA,
+    laid_out_events,
+    replace_batch,
+)
 
-BATCH_COLUMN = "ingest_batch"
+
+def ingest_files(
+    spark: SparkSession,
+    paths: list[str],
+    events: str,
+    quarantine: str,
+    report: str,
+    batch: int,
+    scope: str = "file",
+) -> None:
+    """Takes files in as one batch: events, rejected rows and, last, the report per file.
+
+    The files are parsed once; the three outputs start from the typed rows as written.
+    """
+    scanned = materialize(type_raw_rows(read_raw(spark, paths)), "scanned")
+    replace_batch(laid_out_events(clean_scanned(scanned, scope)), events, batch, MONTH_COLUMN)
+    replace_batch(rejected_rows(scanned), quarantine, batch)
+    replace_batch(ingest_report(scanned, scope), report, batch)
 
 
 def stream_ingest(
@@ -21,32 +50,16 @@ def stream_ingest(
     Copies are removed within a file, and a file is never split over batches,
     so no state is kept and nothing arrives too late. Rejected rows and the report
     per file go beside the table, into ``_quarantine`` and ``_report``. A batch that
-    is run again overwrites its own partitions in all three.
+    is run again replaces what it wrote to all three.
 
     The stream only tells which files are new; each batch reads its files by their
     headers, once.
     """
     beside = table_path.rstrip("/")
 
-    def put(rows: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
-        (
-            rows.withColumn(BATCH_COLUMN, F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(BATCH_COLUMN, *partitions)
-            .parquet(path)
-        )
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        jvm = batch.sparkSession._jvm
-        paths = [
-            jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row[0])).toString()
-            for row in batch.distinct().collect()
-        ]
-        scanned = materialize(type_raw_rows(read_raw(batch.sparkSession, paths)), "scanned")
-        put(laid_out_events(clean_scanned(scanned, "file")), table_path, batch_id, MONTH_COLUMN)
-        put(rejected_rows(scanned), f"{beside}_quarantine", batch_id)
-        put(ingest_report(scanned), f"{beside}_report", batch_id)
+        paths = [plain_path(batch.sparkSession, row[0]) for row in batch.distinct().collect()]
+        ingest_files(batch.sparkSession, paths, table_path, f"{beside}_quarantine", f"{beside}_report", batch_id)
 
     new_files = (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)

@@ -40,17 +40,20 @@ def stream_minibatch_kmeans(
     """Starts a query that makes one k-means step per batch of new feature files.
 
     Each batch reads the version of the batch before it and writes its own, so
-    running a batch again gives the same version again.
+    running a batch again gives the same version again. Until there are ``k`` rows,
+    batches wait beside the centres; the first fit and step take all that waited.
     """
+    waiting = f"{centres_path.rstrip('/')}_waiting"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         centres, weights = centres_from_frame(read_centres(spark, centres_path, batch_id))
         if not centres:
+            batch.write.mode("overwrite").parquet(f"{waiting}/batch={batch_id}")
+            waited = spark.read.schema(T.StructType([*MATRIX_SCHEMA, T.StructField("batch", T.LongType())])).parquet(waiting)
+            batch = waited.where(F.col("batch") <= batch_id).drop("batch")
+            if batch.limit(k).count() < k:
+                return
             centres = kmeans_fit(batch, k, seed)
-            if len(centres) < k:
-                raise ValueError(f"the first batch needs at least {k} different rows")
             weights = [0.0] * len(centres)
         centres, weights = minibatch_step(batch, centres, weights)
         centres_frame(spark, centres, weights).coalesce(1).write.mode("overwrite").parquet(

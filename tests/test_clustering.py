@@ -45,7 +45,6 @@ def test_step_is_the_weighted_mean(matrix, points):
 def test_empty_batch_changes_nothing(matrix):
     state = [[1.0, 2.0, 3.0]], [4.0]
     assert clustering.minibatch_step(matrix.limit(0), *state) == ([[1.0, 2.0, 3.0]], [4.0])
-    assert clustering.minibatch_kmeans(matrix.limit(0)) == ([], [])
 
 
 def test_minibatch_sees_every_row_once(matrix, points):
@@ -60,14 +59,17 @@ def test_full_kmeans_numbers_by_size(matrix):
     assert labels.tolist() == [0] * 120 + [1] * 70 + [2] * 50
 
 
-def test_fewer_rows_than_clusters(spark):
+def test_more_clusters_than_rows_are_refused(spark):
     two = matrix_of(spark, np.array([[0.0, 1.0], [5.0, 5.0]]))
-    assert sorted(clustering.kmeans_fit(two, k=4)) == [[0.0, 1.0], [5.0, 5.0]]
-    assert clustering.kmeans_fit_predict(two.limit(1), k=3).first()["cluster"] == 0
-    centres, weights = clustering.minibatch_kmeans(two, k=4, batch_ids=1)
-    assert len(centres) == 2 and sum(weights) == 2
-    curve = clustering.kmeans_elbow(two, range(1, 5)).toPandas()
-    assert curve["inertia"].tolist() == [20.5, 0.0, 0.0, 0.0]
+    for fit in (clustering.kmeans_fit, clustering.kmeans_fit_predict, clustering.minibatch_kmeans):
+        for rows in (two, two.limit(0)):
+            with pytest.raises(ValueError):
+                fit(rows, k=3)
+    with pytest.raises(ValueError):
+        clustering.kmeans_elbow(two, range(1, 4))
+    assert sorted(clustering.kmeans_fit(two, k=2)) == [[0.0, 1.0], [5.0, 5.0]]
+    assert clustering.kmeans_fit(two, k=1) == [[2.5, 3.0]]
+    assert clustering.kmeans_elbow(two, range(1, 3)).toPandas()["inertia"].tolist() == [20.5, 0.0]
 
 
 def test_first_centres_come_from_enough_rows(spark, points):

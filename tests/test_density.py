@@ -52,7 +52,7 @@ def test_equals_brute_force(spark, eps, min_points):
     points = sample_points(0)
     counts, expected = brute_force(points, eps, min_points, 10)
     core = density.density_core_points(frame(spark, points), eps, min_points).toPandas().sort_values("id_client")
-    assert (core["neighbours"].to_numpy() == np.minimum(counts, min_points)).all()
+    assert (core["is_core"].to_numpy() == (counts >= min_points)).all()
 
     found = density.density_clusters(frame(spark, points), eps, min_points, 10).toPandas().sort_values("id_client")
     label = found["label"].to_numpy()
@@ -63,13 +63,50 @@ def test_equals_brute_force(spark, eps, min_points):
     assert (np.diff(sizes) <= 0).all()
 
 
-def test_slices_of_a_hot_cell(spark, monkeypatch):
-    monkeypatch.setattr(density, "SLICE_POINTS", 7)
+def test_slices_of_a_hot_cell(spark):
     points = sample_points(3)
-    counts, _ = brute_force(points, 0.1, 600, 10)
-    core = density.density_core_points(frame(spark, points), 0.1, 600).toPandas().sort_values("id_client")
-    assert (core["neighbours"].to_numpy() == np.minimum(counts, 600)).all()
-    assert core["is_core"].sum() == 0
+    for min_points in (505, 600):
+        counts, _ = brute_force(points, 0.1, min_points, 10)
+        core = density.density_core_points(frame(spark, points), 0.1, min_points, slice_points=7)
+        core = core.toPandas().sort_values("id_client")
+        assert (core["is_core"].to_numpy() == (counts >= min_points)).all()
+
+
+def test_pairs_settled_by_splitting_alone(spark, monkeypatch):
+    monkeypatch.setattr(density, "COMPARED", 16)
+    points = sample_points(2)
+    _, expected = brute_force(points, 0.25, 10, 10)
+    found = density.density_clusters(frame(spark, points), 0.25, 10, 10).toPandas().sort_values("id_client")
+    pairs = set(zip(found["label"], expected))
+    assert len(pairs) == found["label"].nunique() == len(set(expected)) > 3
+
+
+def test_groups_very_far_apart_stay_apart(spark):
+    eps = 1e-3
+    far = 2**32 * eps / np.sqrt(2)
+    points = np.concatenate([np.zeros((20, 2)), np.full((21, 2), (far, 0.0))])
+    found = density.density_clusters(frame(spark, points), eps, 5, 5).toPandas().sort_values("id_client")
+    assert found["label"].tolist() == [1] * 20 + [0] * 21
+
+
+def test_neighbouring_numbers_in_one_box(spark):
+    eps, x = 1.393, 2_086_666.0
+    rng = np.random.default_rng(4)
+    for shift in (eps, eps / np.sqrt(2)):
+        near = [[np.nextafter(x, x + 1), 0.0], [x, 0.0], [x - shift, 0.0], [x + shift, float(rng.random())]]
+        points = np.array(near)
+        _, expected = brute_force(points, eps, 1, 1)
+        found = density.density_clusters(frame(spark, points), eps, 1, 1).toPandas().sort_values("id_client")
+        assert len(set(zip(found["label"], expected))) == len(set(expected)) == found["label"].nunique()
+
+
+def test_no_radius_fits(spark):
+    with pytest.raises(ValueError):
+        density.suggest_eps(frame(spark, np.array([[0.0, 0.0], [1.0, 1.0]])), 10)
+    copies = frame(spark, np.tile([[3.0, 3.0]], (30, 1)))
+    assert 0 < density.suggest_eps(copies, 10) < 1e-14
+    outlier = frame(spark, np.concatenate([sample_points(1) / 1e6, [[1e6, 1e6]]]))
+    assert density.suggest_eps(outlier, 10, 0.5) < 1e-5
 
 
 def test_blobs_and_outliers(spark):

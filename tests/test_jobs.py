@@ -1,6 +1,7 @@
 from segmill import jobs
 from segmill.session import shuffle_partitions
-from segmill.sources import tables
+from segmill.sources import csv_events, tables
+from segmill.streaming.ingest import ingest_files
 from test_cleaning import write
 
 
@@ -25,6 +26,19 @@ def test_from_csv_to_segments(spark, tmp_path):
     assert [r["rows_rejected"] for r in report] == [1, 1]
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 2
 
+    # nothing new: nothing changes; a batch that never got its report is done again
+    assert jobs.ingest(spark, str(folder), events, str(tmp_path / "bad")).count() == 0
+    assert tables.read_events(spark, events).count() == stored.count()
+    write(folder, "3.csv", "2020-02-29 00:00:00 UTC,view,1,5,a,b,1.5,1,s1-1", "broken")
+    paths = [p for p in csv_events.csv_files(spark, str(folder)) if p.endswith("3.csv")]
+    lost = str(tmp_path / "lost")
+    ingest_files(spark, paths, events, str(tmp_path / "bad"), lost, 1)
+    again = jobs.ingest(spark, str(folder), events, str(tmp_path / "bad")).collect()
+    assert [(r["rows_read"], r["rows_inserted"]) for r in again] == [(2, 1)]
+    after = tables.read_events(spark, events).count()
+    assert after == sum(r["rows_inserted"] for r in report) + 1
+    assert spark.read.parquet(str(tmp_path / "bad")).count() == 3
+
     jobs.customers(spark, events, client, "2020-03-01")
     assert tables.read_customers(spark, client).count() == 40
 

@@ -24,11 +24,11 @@ def test_same_as_a_window(spark):
     assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
 
 
-def test_counted_small_input_takes_the_plain_join(spark):
+def test_a_given_count_changes_nothing(spark):
     rows = hot_rows(spark, 30_000)
-    plain = skew.join_totals(rows, totals_of(rows), ["k"], ["top"], n_rows=rows.count())
-    sliced = skew.join_totals(rows, totals_of(rows), ["k"], ["top"])
-    assert plain.exceptAll(sliced).isEmpty() and sliced.exceptAll(plain).isEmpty()
+    given = skew.join_totals(rows, totals_of(rows), ["k"], ["top"], n_rows=rows.count())
+    counted = skew.join_totals(rows, totals_of(rows), ["k"], ["top"])
+    assert given.exceptAll(counted).isEmpty() and counted.exceptAll(given).isEmpty()
 
 
 def test_null_keys_are_a_group(spark):

@@ -44,6 +44,16 @@ def test_ingest_keeps_bad_rows_and_reports(spark, tmp_path):
     assert [(r["rows_read"], r["rows_rejected"], r["rows_inserted"]) for r in report] == [(1, 0, 1), (3, 2, 1)]
 
 
+def test_minibatch_waits_for_enough_rows(spark, tmp_path):
+    matrix, centres, offsets = (str(tmp_path / n) for n in ("matrix", "centres", "offsets"))
+    for i in range(4):
+        row = [(i, Vectors.dense([float(i), 0.0]))]
+        spark.createDataFrame(row, ["id_client", "features"]).coalesce(1).write.mode("append").parquet(matrix)
+    stream_minibatch_kmeans(spark, matrix, centres, offsets, k=3, files_per_batch=1).awaitTermination()
+    found, weights = centres_from_frame(read_centres(spark, centres))
+    assert len(found) == 3 and sum(weights) == 4
+
+
 def test_minibatch_versions(spark, tmp_path):
     matrix, centres, offsets = (str(tmp_path / n) for n in ("matrix", "centres", "offsets"))
     rows = [(i, Vectors.dense([float(i % 2) * 10, float(i % 5)])) for i in range(100)]
