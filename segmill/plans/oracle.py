@@ -20,7 +20,7 @@ from segmill.plans.settings import (
     RANGE_START,
 )
 from segmill.plans.views import oracle_clickstream, oracle_dirty_clickstream
-from segmill.schemas import INTEGER_FEATURES, NUMERIC_FEATURES
+from segmill.schemas import CUSTOMERS_SCHEMA, INTEGER_FEATURES, NUMERIC_FEATURES
 
 CLICKS = f"cs as ({oracle_clickstream()})"
 
@@ -211,6 +211,7 @@ def oracle_sql() -> dict[str, str]:
     long_z = " union all ".join(
         f"select id_client, {k} as k, '{c}_z' as name, {c}_z as value from scaled" for k, c in enumerate(NUMERIC_FEATURES)
     )
+    stored_events = f"with {CLEANED} {cleaned('present', 'event_time', CSV_PRICE)}"
     entries = f"""with {SCALED},
   slots as (select id_client, 1.0 as value,
       {len(NUMERIC_FEATURES)} + dense_rank() over (order by most_common_category) - 1 as category_position,
@@ -251,7 +252,8 @@ def oracle_sql() -> dict[str, str]:
         "assign_customer_id": from_customers(["id_client", "user_id"]),
         "customers_by_id_range": from_customers(["id_client", "user_id", "n_clicks", "total_spent"])
         + f" where id_client between {FIRST_ID} and {LAST_ID}",
-        "write_customers": from_customers(["id_client", "user_id", "n_sessions", "avg_session_len_sec", "total_spent"]),
+        "write_customers": from_customers(CUSTOMERS_SCHEMA.names),
+        "create_customer_table": from_customers(CUSTOMERS_SCHEMA.names),
         "top_brands": f"with {CLICKS} select brand, count(*) as n from cs group by brand "
         f"order by n desc, brand limit {N_BRANDS}",
         "top_categories": f"with {CLICKS} select category_code_1, count(*) as n from cs group by category_code_1 "
@@ -289,10 +291,14 @@ def oracle_sql() -> dict[str, str]:
     (select count(*) from csv where (ordinal % 29 <> 3 or price is null)
         and len(string_split({_normalised('category_code')}, '.')) > 4) as rows_too_deep,
     (select count(*) from present) as rows_inserted""",
-        "append_events": f"""with {CLEANED}, stored as ({cleaned('present', 'event_time', 'round(cast(cast(price as float) as double), 2)')})
+        "append_events": stored_events,
+        "create_events_table": stored_events,
+        "events_between": f"""with stored as ({stored_events})
   select * from stored where event_time >= timestamp '{RANGE_START}' and event_time < timestamp '{RANGE_END}'""",
         "null_profile": f"with {CLEANED}, counts as ({_nulls}) select * from counts where n_missing > 0",
-        "distinct_categories": f"with {METRICS} select distinct most_common_brand from customers",
+        "distinct_categories": f"""with {METRICS}
+  select distinct 'most_common_category' as column_name, most_common_category as value from customers
+  union all select distinct 'most_common_brand', most_common_brand from customers""",
         "scaled_features": f"with {SCALED} select id_client, "
         + ", ".join(f"round({c}_z, 6) as {c}_z" for c in NUMERIC_FEATURES)
         + " from scaled",
@@ -302,6 +308,7 @@ def oracle_sql() -> dict[str, str]:
     cast(dense_rank() over (order by most_common_brand) - 1 as int) as most_common_brand_slot
   from customers""",
         "feature_matrix": entries,
+        "save_model": entries,
         "feature_batch": f"{entries} and id_client between {FIRST_ID} and {LAST_ID}",
         "assign_clusters": f"with {ASSIGNED} select id_client, cluster from assigned",
         "minibatch_step": f"""with {ASSIGNED},

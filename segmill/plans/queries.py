@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
@@ -93,12 +94,21 @@ def customers_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _customer_output(df: DataFrame) -> DataFrame:
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("first_event", "last_event")}
+    return _rounded(df).withColumns(times)
+
+
 def written_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(
-        stored_customers(spark, sf_dir).select(
-            "id_client", "user_id", "n_sessions", "avg_session_len_sec", "total_spent"
-        )
-    )
+    return _customer_output(stored_customers(spark, sf_dir))
+
+
+def created_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers through an empty catalog table at a location of its own."""
+    path, name = scratch_path(spark, "client"), f"client_{uuid.uuid4().hex}"
+    tables.create_customer_table(spark, name, path)
+    customers(spark, sf_dir).write.insertInto(name)
+    return _customer_output(spark.table(name))
 
 
 def split_levels(df: DataFrame) -> DataFrame:
@@ -162,12 +172,27 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_file.agg(*[F.sum(c).alias(c) for c in counts])
 
 
-def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "events")
     cleaned = cleaning.clean_events(dirty_clickstream(spark, sf_dir))
     tables.append_events_path(cleaned, path)
-    stored = tables.read_events(spark, path)
-    return _event_output(tables.events_between(stored, s.RANGE_START, s.RANGE_END))
+    return tables.read_events(spark, path)
+
+
+def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_output(_appended(spark, sf_dir))
+
+
+def events_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_output(tables.events_between(_appended(spark, sf_dir), s.RANGE_START, s.RANGE_END))
+
+
+def created_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned events through an empty catalog table at a location of its own."""
+    path, name = scratch_path(spark, "events"), f"events_{uuid.uuid4().hex}"
+    tables.create_events_table(spark, name, path)
+    tables.append_events(cleaning.clean_events(dirty_clickstream(spark, sf_dir)), name)
+    return _event_output(spark.table(name))
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,8 +205,13 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return profile.null_profile(df.drop("ordinal"))
 
 
-def distinct_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.distinct_categories(customers(spark, sf_dir), "most_common_brand")
+def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = stored_customers(spark, sf_dir)
+    found = [
+        profile.distinct_categories(table, c).select(F.lit(c).alias("column_name"), F.col(c).alias("value"))
+        for c in ("most_common_category", "most_common_brand")
+    ]
+    return found[0].unionAll(found[1])
 
 
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,6 +245,14 @@ def matrix_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nonzero_entries(matrix(spark, sf_dir))
 
 
+def reloaded_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of a stored and reloaded preprocessor."""
+    table, path = stored_customers(spark, sf_dir), scratch_path(spark, "model")
+    fitted = features.fit_preprocessor(table)
+    tables.save_model(fitted, path)
+    return _nonzero_entries(features.feature_matrix(table, type(fitted).load(path)))
+
+
 def batch_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = stored_customers(spark, sf_dir)
     model = features.fit_preprocessor(table)
@@ -344,6 +382,7 @@ def queries() -> dict[str, Query]:
         "assign_customer_id": assigned_ids,
         "customers_by_id_range": customers_in_range,
         "write_customers": written_customers,
+        "create_customer_table": created_customers,
         "top_brands": _on_clicks(toplist.top_brands, s.N_BRANDS),
         "top_categories": _on_clicks(toplist.top_categories, s.N_CATEGORIES),
         "collapse_rare_brand": _on_clicks(
@@ -386,13 +425,16 @@ def queries() -> dict[str, Query]:
         "ingest_folder": ingested,
         "ingest_report": report,
         "append_events": appended,
+        "events_between": events_in_range,
+        "create_events_table": created_events,
         "null_profile": _on_dirty(missing_counts),
-        "distinct_categories": distinct_brands,
+        "distinct_categories": distinct_values,
         "random_sample": sampled,
         "preview": previewed,
         "scaled_features": scaled_output,
         "one_hot_features": one_hot,
         "feature_matrix": matrix_entries,
+        "save_model": reloaded_model,
         "feature_batch": batch_entries,
         "assign_clusters": assigned,
         "minibatch_step": one_step,
