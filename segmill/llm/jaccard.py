@@ -1,0 +1,273 @@
+"""Near copies by the Jaccard similarity of their word shingles.
+
+SimHash fingerprints of 64 bits are too coarse for this: texts of similarity 0.8 differ
+in 10 bits on average and in up to 18 often enough to count, and no bands of 64 bits
+tell such pairs from others. So candidates come from MinHash: of ``TABLES`` keys, each
+of ``ROWS`` least hashes, a pair of similarity s shares one with probability
+1 - (1 - s^ROWS)^TABLES, 0.9996 at 0.8. Texts that share a key form a block, and in it
+every pair that is not connected already is compared by its exact shingles.
+
+A large block is held in shards; what its least text does not reach is compared with
+all of them. Texts with the same shingles are one node and count once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from segmill.llm.components import connected_components
+from segmill.session import materialize
+
+SIMILARITY = 0.8
+TABLES = 20
+ROWS = 5
+SEED = 42
+SHARD_TEXTS = 4096
+SHARD_SHINGLES = 2_000_000
+HASHES_AT_ONCE = 512
+NO_WORDS = 0
+_FACTORS = np.random.default_rng(SEED).integers(
+    0, 1 << 64, TABLES * ROWS, dtype=np.uint64, endpoint=False
+) | np.uint64(1)
+
+
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """Hashes of all shingles of a text, in text order.
+
+    Only A-Z are lower-cased. A text with fewer words than a shingle has one
+    shingle, its whole word sequence; without words it has none.
+    """
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    n = max(1, len(found) - shingle_words + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.array(
+        [
+            digest(joined[a:b], SEED)
+            for a, b in zip(starts[:n].tolist(), ends[len(found) - n :].tolist())
+        ],
+        dtype=np.uint64,
+    )
+
+
+def sketch(text: str | None, shingle_words: int) -> tuple[int, int, list[int]]:
+    """(node, number of different shingles, block keys); without words there are no keys."""
+    shingles = np.unique(shingle_hashes(text, shingle_words))
+    if not len(shingles):
+        return NO_WORDS, 0, []
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), HASHES_AT_ONCE):
+        part = shingles[at : at + HASHES_AT_ONCE, None] * _FACTORS
+        np.minimum(least, part.min(axis=0), out=least)
+    digest = xxhash.xxh64_intdigest
+    keys = [digest(rows.tobytes(), SEED) for rows in least.reshape(TABLES, ROWS)]
+    signed = np.array([digest(shingles.tobytes(), SEED), *keys], np.uint64).view(np.int64).tolist()
+    return signed[0], len(shingles), signed[1:]
+
+
+def link_sets(sets: list[np.ndarray], similarity: float, held: int | None = None) -> np.ndarray:
+    """For each set the least index of its component.
+
+    Sets are not empty and have distinct members. With ``held``, only sets from there
+    on are compared, with those before it.
+    """
+    n = len(sets)
+    labels = np.arange(n)
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked = np.zeros(len(ids), np.uint8)
+    for x in range(held or 0, n):
+        lows, highs = (x + 1, n) if held is None else (0, held)
+        apart = labels[lows:highs] != labels[x]
+        small = np.minimum(sizes[lows:highs], sizes[x])
+        large = np.maximum(sizes[lows:highs], sizes[x])
+        others = np.flatnonzero(apart & (small / large >= similarity)) + lows
+        if not len(others):
+            continue
+        mine = ids[starts[x] : starts[x] + sizes[x]]
+        marked[mine] = 1
+        if 2 * sizes[others].sum() > len(ids):
+            shared = np.add.reduceat(marked[ids], starts, dtype=np.int64)[others]
+        else:
+            theirs = np.concatenate([ids[starts[y] : starts[y] + sizes[y]] for y in others])
+            at = np.cumsum(sizes[others]) - sizes[others]
+            shared = np.add.reduceat(marked[theirs], at, dtype=np.int64)
+        marked[mine] = 0
+        near = others[shared / (sizes[x] + sizes[others] - shared) >= similarity]
+        if len(near):
+            together = np.unique(labels[np.r_[x, near]])
+            labels[np.isin(labels, together)] = together[0]
+    return labels
+
+
+def _searcher(
+    shingle_words: int, similarity: float, limit: int
+) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Links of shards: rows (table, key, shard, shards, role, node, text) in this order.
+
+    Held texts (role 0) come before asking ones (role 1); without the latter the held
+    ones are compared among each other. Of a block with several shards, the nodes that
+    its least one does not reach are listed too, with a null link.
+    """
+
+    def links(group: tuple, nodes: list[int], sets: list[np.ndarray], held: int) -> pd.DataFrame:
+        asking = held < len(nodes)
+        labels = link_sets(sets, similarity, held if asking else None)
+        named = np.array(nodes, np.int64)
+        linked = labels != np.arange(len(nodes))
+        a, b = named[linked], pd.array(named[labels[linked]], dtype="Int64")
+        if not asking and group[3] > 1:
+            open_ = named[labels != 0]
+            a = np.r_[a, open_]
+            b = pd.array([*b, *[pd.NA] * len(open_)], dtype="Int64")
+        return pd.DataFrame({"table": group[0], "key": group[1], "a": a, "b": b})
+
+    def searched(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group: tuple | None = None
+        nodes: list[int] = []
+        sets: list[np.ndarray] = []
+        held = asked = 0
+        for batch in batches:
+            columns = (batch[c] for c in ("table", "key", "shard", "shards", "role", "node", "text"))
+            for *name, role, node, text in zip(*columns):
+                if tuple(name) != group:
+                    if len(nodes) > 1:
+                        yield links(group, nodes, sets, held)
+                    group, nodes, sets, held, asked = tuple(name), [], [], 0, 0
+                if asked > limit:
+                    # many queries of one shard: answer these, keep what is held
+                    yield links(group, nodes, sets, held)
+                    del nodes[held:], sets[held:]
+                    asked = 0
+                nodes.append(node)
+                sets.append(np.unique(shingle_hashes(text, shingle_words)))
+                if role:
+                    asked += len(sets[-1])
+                else:
+                    held += 1
+        if len(nodes) > 1:
+            yield links(group, nodes, sets, held)
+
+    return searched
+
+
+def near_links(
+    sketched: DataFrame,
+    nodes: DataFrame,
+    shingle_words: int,
+    similarity: float = SIMILARITY,
+    shard_texts: int = SHARD_TEXTS,
+    shard_shingles: int = SHARD_SHINGLES,
+) -> DataFrame:
+    """Links (a, b) that connect what the pairs of at least ``similarity`` connect.
+
+    ``sketched`` has row, text and s, the sketch; ``nodes`` has each node with one of
+    its rows.
+    """
+    keyed = sketched.select(
+        F.col("s.node").alias("node"),
+        F.col("s.n").alias("size"),
+        F.posexplode("s.keys").alias("table", "key"),
+    ).distinct()
+    keyed = materialize(keyed, "keys")
+    blocks = (
+        keyed.groupBy("table", "key")
+        .agg(
+            F.count("*").alias("n"),
+            F.min("node").alias("pivot"),
+            F.sum("size").alias("total"),
+            F.bit_xor(F.xxhash64("node")).alias("members"),
+        )
+        .where("n > 1")
+        # tables whose blocks hold the same texts are searched once
+        .groupBy("n", "pivot", "members")
+        .agg(F.min(F.struct("table", "key", "total")).alias("b"))
+        .select(
+            "b.table",
+            "b.key",
+            "pivot",
+            F.greatest(
+                F.ceil(F.col("n") / shard_texts), F.ceil(F.col("b.total") / shard_shingles)
+            ).cast("long").alias("shards"),
+        )
+    )
+    blocks = materialize(blocks, "blocks")
+    own = F.pmod(F.xxhash64(F.lit(SEED), "node"), F.col("shards"))
+    members = keyed.join(blocks, ["table", "key"]).select(
+        "table", "key", "node", own.alias("shard"), "shards", F.lit(0).alias("role")
+    )
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
+    pivots = (
+        blocks.where("shards > 1")
+        .select("table", "key", F.col("pivot").alias("node"), everywhere.alias("shard"), "shards")
+        .where(F.col("shard") != own)
+        .withColumn("role", F.lit(0))
+    )
+    members = materialize(members, "members")
+    wanted = members.select("node").distinct().join(nodes.select("node", "row"), "node")
+    texts = sketched.select("row", "text").join(wanted, "row").select("node", "text")
+    texts = materialize(texts, "texts")
+
+    def searched(rows: DataFrame) -> DataFrame:
+        order = ["table", "key", "shard", "shards", "role", "node"]
+        dealt = rows.select(*order).join(texts, "node").select(*order, "text")
+        dealt = dealt.repartition("table", "key", "shard").sortWithinPartitions(*order)
+        search = _searcher(shingle_words, similarity, shard_shingles)
+        return dealt.mapInPandas(search, "table int, key long, a long, b long")
+
+    first = materialize(searched(members.unionByName(pivots)), "links")
+    found = first.where("b is not null").select("a", "b")
+    if blocks.where("shards > 1").isEmpty():
+        return found
+    asking = (
+        first.where("b is null")
+        .select("table", "key", F.col("a").alias("node"))
+        .distinct()
+        .join(blocks, ["table", "key"])
+        .select("table", "key", "node", everywhere.alias("shard"), "shards")
+        .where(F.col("shard") != own)
+        .withColumn("role", F.lit(1))
+    )
+    asking = materialize(asking, "asking")
+    asked = members.join(asking.select("table", "key", "shard").distinct(), ["table", "key", "shard"], "left_semi")
+    return found.unionByName(searched(asked.unionByName(asking)).select("a", "b"))
+
+
+def near_classes(
+    docs: DataFrame, shingle_words: int = 5, similarity: float = SIMILARITY, **shards: int
+) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over links, of each doc_id and text."""
+
+    @F.pandas_udf("struct<node: long, n: long, keys: array<long>>")
+    def sketch_of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sketch(t, shingle_words) for t in texts], columns=["node", "n", "keys"])
+
+    sketched = materialize(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"), "doc_id", "text", sketch_of("text").alias("s")
+        ),
+        "sketched",
+    )
+    ids = sketched.select("row", "doc_id", F.col("s.node").alias("node"))
+    nodes = materialize(
+        ids.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "nodes"
+    )
+    roots = connected_components(near_links(sketched, nodes, shingle_words, similarity, **shards))
+    rooted = nodes.join(roots, "node", "left").select(
+        "node", "least", F.coalesce("root", "node").alias("root")
+    )
+    rooted = materialize(rooted, "rooted")
+    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_node = rooted.join(component, "root").select("node", "component_id")
+    return ids.join(of_node, "node").select("doc_id", "component_id")

@@ -24,17 +24,16 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmill.llm.bktree import BITS, Forest, merge_labels
 from segmill.llm.components import connected_components
+from segmill.llm.jaccard import SEED, SIMILARITY, near_classes, shingle_hashes
 from segmill.session import materialize
 
 RADIUS = 4
 SHARD = 4096
-SEED = 42
 PAIRS_AT_ONCE = 2_000_000
 
 
@@ -44,21 +43,10 @@ def simhash(text: str | None, shingle_words: int) -> int:
     Only A-Z are lower-cased. A text with fewer words than a shingle has one
     shingle, its whole word sequence; without words the fingerprint is 0.
     """
-    found = (text or "").encode().lower().split()
-    if not found:
+    hashes = shingle_hashes(text, shingle_words).astype("<u8")
+    n = len(hashes)
+    if not n:
         return 0
-    joined = b" ".join(found)
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    n = max(1, len(found) - shingle_words + 1)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array(
-        [
-            digest(joined[a:b], SEED)
-            for a, b in zip(starts[:n].tolist(), ends[len(found) - n :].tolist())
-        ],
-        dtype="<u8",
-    )
     bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     counts = np.ones(n, np.float32) @ bits.astype(np.float32) if n < 1 << 24 else bits.sum(0)
     chosen = np.packbits(2 * counts > n, bitorder="little")
@@ -211,8 +199,10 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(of_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The document with the smallest id of each component, columns kept.
+def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The document with the smallest id of each component of near copies, columns kept.
+
+    Documents link where the Jaccard similarity of their shingles reaches ``similarity``.
 
     Rows with the same id are one document: one of them stays. A row without an id
     gets one from its text, above all others, so texts that repeat without an id
@@ -222,7 +212,7 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, radius: int = RADIUS) -> D
     stand_in = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62).cast("long"))
     row = F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row")
     keyed = docs.select(row, F.coalesce("doc_id", stand_in).alias("doc_id"), "text")
-    found = classes(fingerprints(keyed, shingle_words), radius)
+    found = near_classes(keyed, shingle_words, similarity)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     rows = keyed.select("_row", "doc_id").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rows.select(*[F.col("_row")[n].alias(n) for n in names])

@@ -1,0 +1,71 @@
+"""Near-dedup stage against all pairs by brute force."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from segmill.llm import simhash
+from segmill.llm.jaccard import near_classes
+
+SHINGLE = 5
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+
+
+def brute_components(texts):
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j:
+                either = len(sets[i] | sets[j])
+                if not either or len(sets[i] & sets[j]) / either >= 0.8:
+                    one, two = sorted((find(i), find(j)))
+                    root[two] = one
+    return {i: find(i) for i in texts}
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    found = ["", "  ", "One two", "one TWO", "one three"]
+    for _ in range(40):
+        base = [word() for _ in range(rng.choice([20, 100, 300]))]
+        found.append(" ".join(base))
+        for _ in range(rng.choice([1, 3, 8])):
+            copy = list(base)
+            # each edit takes up to five shingles
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                copy[rng.randrange(len(copy))] = word()
+            found.append(" ".join(copy))
+    rng.shuffle(found)
+    return dict(enumerate(found))
+
+
+@pytest.mark.parametrize("shards", [{}, {"shard_texts": 2, "shard_shingles": 400}])
+def test_components_equal_all_pairs(spark, texts, shards):
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_classes(frame, SHINGLE, **shards).collect()}
+    assert got == brute_components(texts)
+
+
+def test_keep_one_drops_edited_copies(spark, texts):
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components(texts)
+    kept = simhash.keep_one(frame).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
+    # the fingerprints' own radius misses many of these
+    narrow = simhash.classes(simhash.fingerprints(frame, SHINGLE)).collect()
+    assert len({r.component_id for r in narrow}) > len(set(want.values()))
