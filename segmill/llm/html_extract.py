@@ -13,7 +13,9 @@ messages run level by level in numpy.
 
 A null or empty html gives an empty text, as does a page without content. Elements
 left open, or closed without being open, are handled as browsers do in the common
-cases. Pages nest as deep as they like. Repeated rows are extracted each; other
+cases; a head ends with the first thing it may not hold, and a button, menu of options,
+drawing or the like that is never closed ends with the element around it or at the
+next block. Pages nest as deep as they like. Repeated rows are extracted each; other
 columns do not matter.
 """
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -60,6 +63,10 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: All that a head may hold; anything else ends it.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: An opening tag of these ends an element without text that is left open.
+BLOCKS = CLOSES_P | frozenset("body li dt dd tr td th tbody".split())
 
 # What kind of child an element is; each kind has its own pair potential.
 KINDS = {
@@ -96,27 +103,126 @@ class Page:
     texts: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-class _Builder(HTMLParser):
-    """Elements and texts of a page; elements that hold no text are left out whole."""
+class _Events(HTMLParser):
+    """Tags and texts of a page in order: (kind, tag or text, attributes)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.events: list[tuple[str, str, list]] = []
+
+    def handle_starttag(self, tag, attrs):
+        self.events.append(("start", tag, attrs))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        self.events.append(("end", tag, []))
+
+    def handle_data(self, data):
+        self.events.append(("text", data, []))
+
+
+def skips(events: list[tuple[str, str, list]]) -> dict[int, int]:
+    """For the start of each element without text, the first event after it.
+
+    An end tag closes what it opened and all left open within. An element that is
+    closed by its own end tag is left out whole; one left open ends with the element
+    around it or before the next block, whichever comes first.
+    """
+    stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
+    after: dict[int, int] = {}
+    left_open: list[tuple[int, int]] = []
+    head: int | None = None
+
+    def close(depth: int, at: int, own: bool = False):
+        while len(stack) > depth:
+            tag, start = stack.pop()
+            opened[tag] -= 1
+            if tag in NO_TEXT:
+                if own and len(stack) == depth:
+                    after[start] = at + 1
+                else:
+                    left_open.append((start, at))
+
+    for at, (kind, tag, _) in enumerate(events):
+        if kind == "start":
+            if tag == "head":
+                head = len(stack)
+                continue
+            if head == len(stack) and tag not in IN_HEAD:
+                head = None
+            if tag in ("button", "select") and opened.get(tag):
+                close(max(i for i, (t, _) in enumerate(stack) if t == tag), at)
+            if tag not in VOID:
+                stack.append((tag, at))
+                opened[tag] = opened.get(tag, 0) + 1
+        elif kind == "end":
+            if tag == "head":
+                if head is not None:
+                    close(head, at)
+                head = None
+            elif tag in ("body", "html"):
+                close(0, at)
+            elif opened.get(tag):
+                for depth in range(len(stack) - 1, -1, -1):
+                    here = stack[depth][0]
+                    if here == tag:
+                        close(depth, at, own=True)
+                        break
+                    if (tag in INLINE and here not in INLINE) or (tag == "p" and here in NO_TEXT):
+                        break
+    close(0, len(events))
+    blocks = [i for i, (kind, tag, _) in enumerate(events) if kind == "start" and tag in BLOCKS]
+    for start, end in left_open:
+        block = bisect_right(blocks, start)
+        after[start] = min(end, blocks[block]) if block < len(blocks) else end
+    return after
+
+
+class _Builder:
+    """Elements and texts of a page; elements that hold no text are left out whole."""
+
+    def __init__(self):
         self.page = Page([Node("#page", -1, 0)])
         self.stack = [0]
-        self.skipped: list[str] = []
+        self.in_head = False
+
+    def build(self, events: list[tuple[str, str, list]]) -> Page:
+        after = skips(events)
+        at = 0
+        while at < len(events):
+            kind, value, attrs = events[at]
+            if kind == "text":
+                self.handle_data(value)
+            elif kind == "end":
+                self.handle_endtag(value)
+            else:
+                self.handle_starttag(value, attrs)
+                if at in after:
+                    at = after[at]
+                    continue
+            at += 1
+        return self.page
 
     def handle_starttag(self, tag, attrs):
-        if self.skipped:
-            if tag not in VOID:
-                self.skipped.append(tag)
-            return
         nodes = self.page.nodes
+        if tag == "head":
+            # in a body it means nothing
+            self.in_head = all(n.tag in ("#page", "html") for n in nodes)
+            return
+        if self.in_head:
+            if tag in IN_HEAD or tag == "html":
+                return
+            self.in_head = False
         if tag in CLOSES_P:
             self._close({"p"}, {"table", "td", "th", "button", "object"})
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         if tag in NO_TEXT:
-            self.skipped.append(tag)
             return
         if tag in ("br", "hr", "img", "wbr") or tag in VOID:
             if tag in ("br", "hr"):
@@ -134,21 +240,11 @@ class _Builder(HTMLParser):
         nodes.append(Node(tag, parent, nodes[parent].depth + 1, names, content))
         self.stack.append(len(nodes) - 1)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
     def handle_endtag(self, tag):
-        if self.skipped:
-            # an end tag closes what it opened, or all that is left open within
-            if tag in self.skipped:
-                while self.skipped.pop() != tag:
-                    pass
-            elif tag in ("body", "html", "head"):
-                self.skipped.clear()
+        if tag in ("head", "body", "html"):
+            self.in_head = False
             return
-        if tag in ("body", "html"):
+        if self.in_head:
             return
         nodes = self.page.nodes
         for at in range(len(self.stack) - 1, 0, -1):
@@ -160,8 +256,11 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not self.skipped:
-            self._text(data)
+        if self.in_head:
+            if not data.strip():
+                return
+            self.in_head = False
+        self._text(data)
 
     def _close(self, tags, within):
         nodes = self.page.nodes
@@ -182,10 +281,10 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str | None) -> Page:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    page = builder.page
+    parser = _Events()
+    parser.feed(html or "")
+    parser.close()
+    page = _Builder().build(parser.events)
     linked = [False] * len(page.nodes)
     for i, node in enumerate(page.nodes[1:], 1):
         linked[i] = node.tag == "a" or linked[node.parent]

@@ -245,3 +245,29 @@ def test_toxicity_query(spark):
         assert row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 4 == 2)
         assert row.predicted == int(row.score >= 0.3)
     assert len(rows) == registered._table(spark, SF, "documents").count()
+
+
+ARTICLE = "<article><h1>Title</h1><p>one two three four five six seven eight nine ten</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>t</title><body>{ARTICLE}</html>",
+        f"<head><title>t</title><meta charset=utf-8><script>x</script>{ARTICLE}",
+        f"<head><noscript><link></head><body>{ARTICLE}</body>",
+        f"<body><nav><button>Menu</nav>{ARTICLE}</body>",
+        f"<body><button>Menu{ARTICLE}</body>",
+        f"<body><button>Menu{ARTICLE}<button>Other</button></body>",
+        f"<body><nav><select><option>a<option>b</nav>{ARTICLE}</body>",
+        f"<body><nav><svg><path d=1></nav>{ARTICLE}</body>",
+        f"<body><noscript><img src=x>{ARTICLE}</body>",
+        f"<body><nav><button><div>Menu</div><p>open</button></nav>{ARTICLE}</body>",
+    ],
+)
+def test_text_after_what_is_left_open(page):
+    texts = "".join(t for *_, t in html_extract.parse(page).texts)
+    assert texts == "Titleone two three four five six seven eight nine ten"
+    assert html_extract.extract([html_extract.parse(page)], html_extract.trained()) == [
+        "Title\n\none two three four five six seven eight nine ten"
+    ]
