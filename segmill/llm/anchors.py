@@ -433,7 +433,8 @@ def repeated_windows(texts: DataFrame, search: Search) -> DataFrame:
         .unionByName(search_regions(cut_regions(texts, few, search), search))
         .unionByName(search_crowded(cut_regions(texts, many, search), search))
     )
-    return spans.groupBy("did", "sum").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    # rows that repeat id and text find the same spans: a set is no longer than one text's
+    return spans.groupBy("did", "sum").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def merged(spans: list, length: int) -> list[tuple[int, int]]:

@@ -271,3 +271,21 @@ def test_text_after_what_is_left_open(page):
     assert html_extract.extract([html_extract.parse(page)], html_extract.trained()) == [
         "Title\n\none two three four five six seven eight nine ten"
     ]
+
+
+def test_copies_without_id_share_one_set_of_spans(spark):
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choices("abcde", k=5)) for _ in range(300))
+    rows = [(None, text, 0, 0)] * 60 + [(1, "short", 0, 0), (None, text + " end", 0, 0)]
+    frame = spark.createDataFrame(rows, DOCS).repartition(7)
+    (longest,) = (
+        anchors.repeated_windows(anchors.keyed(frame), suffix_array.SEARCH)
+        .selectExpr("max(size(spans) - size(array_distinct(spans)))")
+        .first()
+    )
+    assert longest == 0
+    texts = [r[1].encode() for r in rows]
+    got = [tuple(r)[1:] for r in suffix_array.digests(frame).collect()]
+    assert sorted(got) == sorted(brute_bytes(texts))
+    kept = [r.text for r in suffix_array.remove_repeats(frame).collect()]
+    assert sorted(kept) == [""] * 60 + [" end", "short"]
