@@ -12,16 +12,20 @@ from segmill.llm import (
     bpe,
     chat,
     embedding_lsh,
+    hard_negatives,
     html_extract,
+    lexical_search,
     mixing,
     quality,
     simhash,
     substring,
     suffix_array,
+    token_counts,
     toxicity,
 )
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 POLICY = "v1"
 
 # Fixed value of the contract: the conversation added to the table.
@@ -94,6 +98,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -108,6 +126,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_mixing,
             op9_bpe,
             op10_toxicity,
+            op11_lexical_search,
+            op12_hard_negatives,
+            op13_token_counts,
         )
     }
 
@@ -192,10 +213,63 @@ from least left join (select a as vec_id, count(*) as n from links group by a) u
 """
 
 
+_TERMS = r"""list_transform(
+    regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+    lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"""
+
+_SEARCH_SQL = f"""
+with d as (
+  select doc_id, {_TERMS} as w, row_number() over () as r
+  from documents),
+q as (
+  select item_id, unnest({_TERMS}) as term from benchmark),
+totals as (select count(*) as nd, sum(len(w))::bigint as nt from d where len(w) > 0),
+tf as (
+  select r, doc_id, n, term, count(*) as tf
+  from (select r, doc_id, len(w) as n, unnest(w) as term from d) where term in (select term from q)
+  group by all),
+weights as (
+  select term, cast(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) as bigint) as w
+  from tf, totals group by term, nd),
+scores as (
+  select item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt)))) as bigint) as score
+  from q join tf using (term) join weights using (term), totals group by item_id, r, doc_id),
+ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+  from scores where score > 0)
+select * from ranked where rank <= 20
+"""
+
+_NEGATIVES_SQL = """
+with v as (
+  select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+    cast(list_inner_product(a.q, b.q) as bigint) as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score
+  from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id,
+  cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as integer) as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives p join scores s on s.anchor_id = p.anchor_id and not same
+  and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": _CHAT_SQL,
         "op3_quality_ledger": _QUALITY_SQL,
         "op5_substring_dedup": _SUBSTRING_SQL,
         "op7_embedding_lsh": _EMBEDDING_SQL,
+        "op11_lexical_search": _SEARCH_SQL,
+        "op12_hard_negatives": _NEGATIVES_SQL,
     }
