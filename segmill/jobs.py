@@ -30,8 +30,10 @@ def ingest(spark: SparkSession, csv: str, events: str, quarantine: str, scope: s
     """
     report = f"{events.rstrip('/')}_report"
     done, batch = _reported(spark, report)
-    paths = [path for path in csv_events.csv_files(spark, csv) if path not in done]
-    ingest_files(spark, paths, events, quarantine, report, batch, scope)
+    files, others = csv_events.csv_entries(spark, csv)
+    paths = [path for path in files if path not in done]
+    failed = [(csv_events.source_name(spark, path), "not a file") for path in others if path not in done]
+    ingest_files(spark, paths, events, quarantine, report, batch, scope, failed)
     return spark.read.parquet(f"{report}/{tables.BATCH_COLUMN}={batch}")
 
 

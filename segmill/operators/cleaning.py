@@ -68,5 +68,9 @@ def clean_events(
     scope: Sequence[str] = (),
 ) -> DataFrame:
     """All steps: one shuffle for the dedup, then a narrow projection."""
-    unique = dedup_events(drop_unused(df), ordinal, scope)
+    return clean_unique(dedup_events(drop_unused(df), ordinal, scope))
+
+
+def clean_unique(unique: DataFrame) -> DataFrame:
+    """The steps behind the dedup."""
     return fill_category_levels(split_category(normalise_strings(drop_missing(unique))))

@@ -7,10 +7,14 @@ from segmill.plans.settings import (
     CENTRE_COLUMNS,
     CENTRE_WEIGHTS,
     CENTRES,
+    CSV_PARTS,
     DENSITY_COLUMNS,
     EPS,
     FIRST_ID,
+    FIRST_PARTS,
     LAST_ID,
+    LATENESS,
+    LATER_PARTS,
     MIN_CLUSTER_SIZE,
     HOT_MIN_POINTS,
     MIN_POINTS,
@@ -158,6 +162,27 @@ present as (select * from dedup where price is not null and user_session is not
 CSV_PRICE = "round(cast(cast(price as float) as double), 2)"
 CSV_CLEANED = f"with {CSV_ROWS} {cleaned('present', 'event_time', CSV_PRICE)}"
 
+CSV_PART = f"cast(product_id % {len(CSV_PARTS)} as int) as part"
+CSV_SPOILT = "(ordinal % 29 = 3 and price is not null)"
+
+# A first batch, then one with copies of its events and some rows far behind its last event.
+STREAMED = f"""{CSV_ROWS},
+parts as (select *, {CSV_PART} from good),
+early as (select * from parts where part in {FIRST_PARTS}
+  qualify row_number() over (partition by event_time, user_id, product_id, event_type order by ordinal) = 1),
+later as (select *, event_time <= (select max(event_time) from early) - interval '{LATENESS}' as late
+  from parts where part in {LATER_PARTS}),
+fresh as (select * from later where not late
+  qualify row_number() over (partition by event_time, user_id, product_id, event_type order by ordinal) = 1),
+once as (select * from early union all select * exclude (late) from fresh
+  anti join early using (event_time, user_id, product_id, event_type)),
+once_present as (select * from once where price is not null and user_session is not null)"""
+
+
+def _marked_missing(column: str) -> str:
+    return f"case when lower(trim({column})) in ('', 'nan') then null else {column} end as {column}"
+
+
 _centre_rows = ", ".join(
     f"({i}, {j}, {value!r}, {CENTRE_WEIGHTS[i]!r})"
     for i, centre in enumerate(CENTRES)
@@ -280,17 +305,26 @@ def oracle_sql() -> dict[str, str]:
   select ordinal, {_levels('category_code')} from norm""",
         "clean_events": f"with {CLEANED} {cleaned('present', 'event_time', 'price')}",
         "scan_events_csv": f"""with {CSV_ROWS}
-  select ordinal % 29 = 3 and price is not null as rejected, count(*) as n_rows,
-    count(distinct event_time) as n_times, cast(sum(product_id) as bigint) as product_sum,
-    count(case when trim(brand) not in ('', 'NaN') then 1 end) as n_brands
-  from csv group by 1""",
+  select {CSV_PART}, event_time, event_type, product_id, category_id, {_marked_missing('category_code')},
+    {_marked_missing('brand')}, case when {CSV_SPOILT} then null else {CSV_PRICE} end as price, user_id, user_session,
+    case when {CSV_SPOILT} then 'bad price' end as reject_reason
+  from csv""",
+        "quarantine": f"""with {CSV_ROWS}
+  select {CSV_PART}, 'bad price' as reject_reason, cast(category_id as varchar) as category_id, '12,5?' as price
+  from csv where {CSV_SPOILT}""",
+        "list_tables": f"""with {METRICS}, {CLEANED}
+  select 'client' as name, count(*) as n_rows from customers union all select 'events', count(*) from present""",
         "ingest_folder": CSV_CLEANED,
-        "ingest_report": f"""with {CSV_ROWS}
-  select (select count(*) from csv) as rows_read,
-    (select count(*) from csv where ordinal % 29 = 3 and price is not null) as rows_rejected,
-    (select count(*) from csv where (ordinal % 29 <> 3 or price is null)
-        and len(string_split({_normalised('category_code')}, '.')) > 4) as rows_too_deep,
-    (select count(*) from present) as rows_inserted""",
+        "ingest_report": f"""with {CSV_ROWS},
+  inserted as (select {CSV_PART}, count(*) as rows_inserted from present group by all)
+  select part, count(*) as rows_read, count(case when {CSV_SPOILT} then 1 end) as rows_rejected,
+    count(case when not coalesce({CSV_SPOILT}, false)
+      and len(string_split({_normalised('category_code')}, '.')) > 4 then 1 end) as rows_too_deep,
+    rows_inserted
+  from (select *, {CSV_PART} from csv) join inserted using (part) group by part, rows_inserted""",
+        "ingest_global": CSV_CLEANED,
+        "stream_dedup": f"with {STREAMED} {cleaned('once_present', 'event_time', CSV_PRICE)}",
+        "stream_late_rows": f"with {STREAMED} select part, category_id from later where late",
         "append_events": stored_events,
         "create_events_table": stored_events,
         "events_between": f"""with stored as ({stored_events})

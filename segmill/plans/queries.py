@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segmill import jobs
 from segmill.operators import (
     cleaning,
     clustering,
@@ -27,7 +29,7 @@ from segmill.plans.views import clickstream, dirty_clickstream
 from segmill.schemas import EVENTS_SCHEMA, NUMERIC_FEATURES, RAW_COLUMNS
 from segmill.session import materialize, scratch_path
 from segmill.sources import csv_events, tables
-from segmill.streaming.ingest import read_streamed_events, stream_ingest
+from segmill.streaming.ingest import LATE, read_streamed_events, stream_ingest
 from segmill.streaming.minibatch import read_centres, stream_minibatch_kmeans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,12 +105,42 @@ def written_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customer_output(stored_customers(spark, sf_dir))
 
 
-def created_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customers through an empty catalog table at a location of its own."""
-    path, name = scratch_path(spark, "client"), f"client_{uuid.uuid4().hex}"
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog's tables after those of this data have been made, with what each holds."""
+    key = uuid.uuid4().hex
+    made = {f"listed_{key}_client": customers_in_catalog, f"listed_{key}_events": events_in_catalog}
+    for name, make in made.items():
+        make(spark, sf_dir, name)
+    try:
+        found = [name for name in tables.list_tables(spark) if name in made]
+        counts = [spark.table(n).agg(F.lit(n[-6:]).alias("name"), F.count("*").alias("n_rows")) for n in found]
+        return materialize(reduce(DataFrame.unionAll, counts), "listed")
+    finally:
+        for name in made:
+            spark.sql(f"DROP TABLE {name}")
+
+
+def customers_in_catalog(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The customers through an empty catalog table at a location of its own, which is returned."""
+    path = scratch_path(spark, "client")
     tables.create_customer_table(spark, name, path)
-    customers(spark, sf_dir).write.insertInto(name)
-    return _customer_output(spark.table(name))
+    tables.insert_customers(customers(spark, sf_dir), name)
+    return path
+
+
+def events_in_catalog(spark: SparkSession, sf_dir: str, name: str) -> str:
+    path = scratch_path(spark, "events")
+    tables.create_events_table(spark, name, path)
+    tables.append_events(cleaning.clean_events(dirty_clickstream(spark, sf_dir)), name)
+    return path
+
+
+def created_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files outlive the table's name, which is dropped."""
+    name = f"client_{uuid.uuid4().hex}"
+    path = customers_in_catalog(spark, sf_dir, name)
+    spark.sql(f"DROP TABLE {name}")
+    return _customer_output(tables.read_customers(spark, path))
 
 
 def split_levels(df: DataFrame) -> DataFrame:
@@ -118,29 +150,36 @@ def split_levels(df: DataFrame) -> DataFrame:
 LEVELS = [*(f"category_code_{i}" for i in range(1, 5)), "category_rest"]
 
 
-def _written_csv(spark: SparkSession, sf_dir: str) -> str:
-    """The dirty view as a folder of CSV files, some rows with an unreadable price.
+def _written_csv(spark: SparkSession, sf_dir: str, path: str | None = None, parts: tuple = s.CSV_PARTS) -> str:
+    """The dirty view as CSV files, a file per part, some rows with an unreadable price.
 
-    The copies of an event stay in one file, in their order.
+    The copies of an event stay in one file, in their order. Returns a pattern for the folders.
     """
-    path = scratch_path(spark, "csv")
+    path = path or scratch_path(spark, "csv")
     spoilt = F.when((F.col("ordinal") % 29 == 3) & F.col("price").isNotNull(), F.lit("12,5?"))
     rows = dirty_clickstream(spark, sf_dir).withColumns(
         {
             "event_time": F.date_format("event_time", "yyyy-MM-dd HH:mm:ss 'UTC'"),
             "price": F.coalesce(spoilt, F.col("price").cast("string")),
+            "part": F.col("product_id") % len(s.CSV_PARTS),
         }
     )
     (
-        rows.repartition(*cleaning.DEDUP_KEYS)
-        .sortWithinPartitions("ordinal")
-        .select(*RAW_COLUMNS)
-        .write.option("header", True)
+        rows.where(F.col("part").isin(*parts))
+        .repartition("part")
+        .sortWithinPartitions("part", "ordinal")
+        .select(*RAW_COLUMNS, "part")
+        .write.partitionBy("part")
+        .option("header", True)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    return path
+    return f"{path}/*"
+
+
+def _part() -> Column:
+    return F.regexp_extract("source_file", "part=([0-9]+)", 1).cast("int").alias("part")
 
 
 def _event_output(events: DataFrame) -> DataFrame:
@@ -153,13 +192,22 @@ def _event_output(events: DataFrame) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = csv_events.scan_events_csv(spark, _written_csv(spark, sf_dir))
-    return scanned.groupBy(F.col("reject_reason").isNotNull().alias("rejected")).agg(
-        F.count("*").alias("n_rows"),
-        F.count_distinct("event_time").alias("n_times"),
-        F.sum("product_id").alias("product_sum"),
-        F.count("brand").alias("n_brands"),
+    scanned = csv_events.scan_events_csv(spark, _written_csv(spark, sf_dir)).withColumns(
+        {
+            "event_time": F.col("event_time").cast("timestamp_ntz"),
+            "price": F.round(F.col("price").cast("double"), 2),
+        }
     )
+    return scanned.select(_part(), *RAW_COLUMNS, "reject_reason")
+
+
+def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quarantine as an ingest leaves it, its rows told by the number of their category."""
+    path = scratch_path(spark, "events")
+    jobs.ingest(spark, _written_csv(spark, sf_dir), path, f"{path}_quarantine")
+    rows = spark.read.parquet(f"{path}_quarantine")
+    read = [F.get_json_object("raw_row", f"$.{c}").alias(c) for c in ("category_id", "price")]
+    return rows.select(_part(), "reject_reason", *read)
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,8 +216,34 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_file = csv_events.ingest_report(csv_events.scan_events_csv(spark, _written_csv(spark, sf_dir)))
-    counts = ["rows_read", "rows_rejected", "rows_too_deep", "rows_inserted"]
-    return per_file.agg(*[F.sum(c).alias(c) for c in counts])
+    return per_file.select(_part(), "rows_read", "rows_rejected", "rows_too_deep", "rows_inserted")
+
+
+def ingested_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, the second with copies of events that the first has stored."""
+    path = scratch_path(spark, "events")
+    for parts in (s.FIRST_PARTS, s.CSV_PARTS):
+        jobs.ingest(spark, _written_csv(spark, sf_dir, parts=parts), path, f"{path}_quarantine", "global")
+    return _event_output(tables.read_events(spark, path))
+
+
+def _streamed_twice(spark: SparkSession, sf_dir: str) -> str:
+    """The table of a stream that keeps the keys it has seen; the second run brings copies and late rows."""
+    folder, table, offsets = (scratch_path(spark, n) for n in ("csv", "streamed", "offsets"))
+    for i, parts in enumerate((s.FIRST_PARTS, s.LATER_PARTS)):
+        _written_csv(spark, sf_dir, f"{folder}/{i}", parts)
+        stream_ingest(spark, f"{folder}/*/*", table, offsets, lateness=s.LATENESS).awaitTermination()
+    return table
+
+
+def streamed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_output(read_streamed_events(spark, _streamed_twice(spark, sf_dir)))
+
+
+def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{_streamed_twice(spark, sf_dir)}_quarantine")
+    late = rows.where(F.col("reject_reason") == LATE)
+    return late.select(_part(), F.get_json_object("raw_row", "$.category_id").cast("long").alias("category_id"))
 
 
 def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,11 +262,10 @@ def events_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def created_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned events through an empty catalog table at a location of its own."""
-    path, name = scratch_path(spark, "events"), f"events_{uuid.uuid4().hex}"
-    tables.create_events_table(spark, name, path)
-    tables.append_events(cleaning.clean_events(dirty_clickstream(spark, sf_dir)), name)
-    return _event_output(spark.table(name))
+    name = f"events_{uuid.uuid4().hex}"
+    path = events_in_catalog(spark, sf_dir, name)
+    spark.sql(f"DROP TABLE {name}")
+    return _event_output(tables.read_events(spark, path))
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,7 +496,10 @@ def queries() -> dict[str, Query]:
         "clean_events": _on_dirty(cleaning.clean_events, EVENTS_SCHEMA.names),
         "scan_events_csv": scan_csv,
         "ingest_folder": ingested,
+        "quarantine": quarantined,
         "ingest_report": report,
+        "ingest_global": ingested_twice,
+        "list_tables": listed,
         "append_events": appended,
         "events_between": events_in_range,
         "create_events_table": created_events,
@@ -451,5 +527,7 @@ def queries() -> dict[str, Query]:
         "density_noise_share": noise_share,
         "density_scatter": density_scatter,
         "stream_ingest": streamed,
+        "stream_dedup": streamed_once,
+        "stream_late_rows": late_rows,
         "stream_minibatch_kmeans": stream_minibatch,
     }

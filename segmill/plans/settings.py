@@ -23,3 +23,9 @@ MIN_CLUSTER_SIZE = 4
 # For the query in which hot cells are searched in slices.
 HOT_MIN_POINTS = 8
 HOT_SLICE_POINTS = 2
+
+# Parts that the CSV rows are written in, those of a first batch and of a second one.
+CSV_PARTS = (0, 1, 2, 3)
+FIRST_PARTS = (0, 1)
+LATER_PARTS = (1, 2, 3)
+LATENESS = "10 days"

@@ -12,6 +12,7 @@ from segmill.schemas import CUSTOMERS_SCHEMA, EVENTS_SCHEMA
 MONTH_COLUMN = "event_month"
 BATCH_COLUMN = "ingest_batch"
 STORED_EVENTS_SCHEMA = T.StructType([*EVENTS_SCHEMA.fields, T.StructField(MONTH_COLUMN, T.StringType())])
+BATCHED_EVENTS_SCHEMA = T.StructType([*STORED_EVENTS_SCHEMA.fields, T.StructField(BATCH_COLUMN, T.IntegerType())])
 
 
 def _create(spark: SparkSession, name: str, schema: T.StructType, partition: str, location: str | None) -> None:
@@ -85,6 +86,11 @@ def write_customers(customers: DataFrame, name: str = "client") -> None:
     _laid_out_customers(customers).write.mode("overwrite").format("parquet").saveAsTable(name)
 
 
+def insert_customers(customers: DataFrame, name: str = "client") -> None:
+    """Adds customers to a catalog table, in its layout."""
+    _laid_out_customers(customers).write.insertInto(name)
+
+
 def write_customers_path(customers: DataFrame, path: str) -> None:
     _laid_out_customers(customers).write.mode("overwrite").parquet(path)
 

@@ -137,3 +137,14 @@ def test_columns_by_header_name_and_quotes(spark, tmp_path):
     assert [r["reject_reason"] for r in csv_events.rejected_rows(scanned).collect()] == ["missing event_type"]
     events = csv_events.ingest_folder(spark, str(tmp_path)).orderBy("user_id").collect()
     assert [r["category_rest"] for r in events] == [None, "e.f", None]
+
+
+def test_line_breaks_in_quoted_fields(spark, tmp_path):
+    row = '2019-10-01 00:00:0{} UTC,view,{},10,x,{},3.5,9,s'
+    write(tmp_path, "a.csv", row.format(1, 1, '"two\nlines ""quoted"""'), row.format(2, 2, "plain"))
+    # a quote that is never closed spoils its own line only
+    write(tmp_path, "b.csv", row.format(3, 3, '"open'), row.format(4, 4, "fine"))
+    scanned = csv_events.scan_events_csv(spark, str(tmp_path))
+    good = {r["product_id"]: r["brand"] for r in csv_events.accepted_rows(scanned).collect()}
+    assert good == {1: 'two\nlines "quoted"', 2: "plain", 4: "fine"}
+    assert [r["reject_reason"] for r in csv_events.rejected_rows(scanned).collect()] == ["malformed row"]

@@ -1,9 +1,11 @@
+import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from segmill.operators.clustering import centres_from_frame
 from segmill.sources.csv_events import ingest_folder
 from segmill.schemas import EVENTS_SCHEMA
+from segmill.streaming import ingest
 from segmill.streaming.ingest import read_streamed_events, stream_ingest
 from segmill.streaming.minibatch import read_centres, stream_minibatch_kmeans
 from test_cleaning import write
@@ -65,3 +67,56 @@ def test_minibatch_versions(spark, tmp_path):
     assert sorted(round(c[0]) for c in found) == [0, 10]
     versions = spark.read.parquet(centres).groupBy("batch").agg(F.sum("weight").alias("w")).orderBy("batch").collect()
     assert [r["w"] for r in versions] == sorted(r["w"] for r in versions) and len(versions) == 4
+
+
+def test_copies_over_files_and_batches(spark, tmp_path):
+    folder, table, offsets = tmp_path / "csv", str(tmp_path / "events"), str(tmp_path / "offsets")
+    folder.mkdir()
+    line = "2019-11-{:02d} 00:00:00 UTC,{},1,10,x.y,{},{},7,s1"
+
+    def run(**files):
+        for name, lines in files.items():
+            write(folder, f"{name}.csv", *lines)
+        stream_ingest(spark, str(folder), table, offsets, lateness="3 days").awaitTermination()
+
+    # two copies in a file; a first copy without a price takes its key with it
+    run(a=[line.format(1, "view", "A", 1.5), line.format(1, "view", "B", 2), line.format(2, "cart", "C", "")])
+    # copies in another batch, one of them of the priceless one; a row that is new
+    run(b=[line.format(1, "view", "D", 3), line.format(2, "cart", "E", 4), line.format(9, "view", "F", 5)])
+    # 6 November is three days behind the 9th: too late; the 7th is not
+    run(c=[line.format(6, "view", "G", 6), line.format(7, "view", "H", 7)], d=[line.format(9, "view", "I", 8)])
+    stored = read_streamed_events(spark, table)
+    assert sorted(r["brand"] for r in stored.collect()) == ["a", "f", "h"]
+    late = spark.read.parquet(f"{table}_quarantine").collect()
+    assert [r["reject_reason"] for r in late] == ["later than the watermark"]
+    assert '"brand":"G"' in late[0]["raw_row"]
+    report = spark.read.parquet(f"{table}_report").collect()
+    found = {r["source_file"][-5]: (r["rows_read"], r["rows_rejected"], r["rows_inserted"]) for r in report}
+    assert found == {"a": (3, 0, 1), "b": (3, 0, 1), "c": (2, 1, 1), "d": (1, 0, 0)}
+    # nothing new: nothing changes
+    run()
+    assert read_streamed_events(spark, table).count() == 3
+
+
+def test_restart_between_landing_and_storing(spark, tmp_path, monkeypatch):
+    """A batch that failed after its rows had landed is finished by the next run, once."""
+    folder, table, offsets = tmp_path / "csv", str(tmp_path / "events"), str(tmp_path / "offsets")
+    folder.mkdir()
+    line = "2019-11-{:02d} 00:00:00 UTC,view,1,10,x.y,{},1.5,7,s1"
+    write(folder, "a.csv", line.format(1, "A"))
+    stream_ingest(spark, str(folder), table, offsets, lateness="3 days").awaitTermination()
+    write(folder, "b.csv", line.format(1, "B"), line.format(2, "C"))
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(ingest, "_report_landed", fail)
+        with pytest.raises(Exception, match="lost"):
+            stream_ingest(spark, str(folder), table, offsets, lateness="3 days").awaitTermination()
+    with monkeypatch.context() as patched:
+        patched.setattr(ingest, "land_scanned", fail)
+        stream_ingest(spark, str(folder), table, offsets, lateness="3 days").awaitTermination()
+    assert sorted(r["brand"] for r in read_streamed_events(spark, table).collect()) == ["a", "c"]
+    report = spark.read.parquet(f"{table}_report").collect()
+    assert {r["source_file"][-5]: r["rows_inserted"] for r in report} == {"a": 1, "b": 1}
