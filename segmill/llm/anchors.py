@@ -6,9 +6,9 @@ key sees every repeat of its windows, and no index has to be searched for texts
 cannot be in it. Neighbouring windows mostly share a key; a run of them is a region.
 
 1. Every text lists its regions: key, hash of the content, place.
-2. Regions are brought together by key. Keys that occur once are dropped, unless the
-   region may repeat itself. Regions of equal content are folded: each counts as
-   repeated from its second place on, and only the earliest is kept for the index.
+2. Regions of equal content are folded by an aggregate: each counts as repeated from
+   its second place on, and only the earliest is kept for the index. Keys with one
+   content are dropped, unless its region may repeat itself.
 3. Where a key has several contents, or one that may repeat itself, these are cut out
    of their texts and indexed together (suffix array, FM-index), which finds the
    windows they share.
@@ -19,8 +19,8 @@ very many copies does not come as often as there are copies. A key with more tha
 ``MAX_REGIONS`` contents (a passage in very many texts) is not indexed as one: its
 windows are keyed anew by their whole content, where equal ones meet by aggregation.
 
-Texts are keyed by (did, sum): the id, with a stand-in for null, and a hash of the
-text that tells rows apart that repeat an id.
+Texts are keyed by (did, sum, more): the id, with a stand-in for null, and 128 bits of
+hash of the text that tell rows apart that repeat an id or have none.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from segmill.session import materialize
 MAX_REGIONS = 16_384
 BLOCK_UNITS = 1 << 20
 NULL_ID = -(1 << 63)
+# Bits kept of the first half of a text's hash; a test takes none, so that all texts collide in it.
+SUM_MASK = -1
 
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -181,16 +183,23 @@ class Search:
     first_stays: bool
 
 
-REGION = "key long, content long, did long, sum int, start int, n int, inner boolean, twin boolean"
-FOUND = "did long, sum int, start int, n int, inner boolean, full boolean, rep boolean, key long"
+REGION = "key long, content long, did long, sum long, more long, start int, n int, inner boolean, twin boolean"
+
+
+def text_sums(text: Column) -> list[Column]:
+    """A hash of the text in two independent halves: 128 bits, as many rows may share an id or have none."""
+    return [
+        F.xxhash64(text).bitwiseAND(F.lit(SUM_MASK)).alias("sum"),
+        F.xxhash64(F.lit("more"), text).alias("more"),
+    ]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """did, sum and text (null: empty) of every row."""
+    """did, sum, more and text (null: empty) of every row."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("did"),
-        F.shiftright(F.xxhash64(text), 33).cast("int").alias("sum"),
+        *text_sums(text),
         text.alias("text"),
     )
 
@@ -201,17 +210,17 @@ def list_regions(texts: DataFrame, search: Search) -> DataFrame:
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch.sort_values(["did", "sum"], kind="stable")
+            batch = batch.sort_values(["did", "sum", "more"], kind="stable")
             seen: dict[str, int] = {}
-            copies: list[tuple[int, int, int]] = []
+            copies: list[int] = []
             repeated: set[int] = set()
             columns = [[], [], [], [], [], [], []]
-            for i, (did, total, text) in enumerate(zip(batch["did"], batch["sum"], batch["text"])):
+            for i, (did, text) in enumerate(zip(batch["did"], batch["text"])):
                 first = seen.setdefault(text, i)
                 # a row that repeats id and text is no later than the first
                 same = first != i and first_stays and batch["did"].iloc[first] == did
                 if first != i and not same:
-                    copies.append((did, total, i))
+                    copies.append(i)
                     repeated.add(first)
                     continue
                 key, content, start, n, inner = windows.regions(text.encode())
@@ -229,6 +238,7 @@ def list_regions(texts: DataFrame, search: Search) -> DataFrame:
                         "content": content,
                         "did": batch["did"].to_numpy()[row],
                         "sum": batch["sum"].to_numpy()[row],
+                        "more": batch["more"].to_numpy()[row],
                         "start": start,
                         "n": n,
                         "inner": inner,
@@ -236,7 +246,8 @@ def list_regions(texts: DataFrame, search: Search) -> DataFrame:
                     }
                 )
             if copies:
-                did, total, row = (np.array(c) for c in zip(*copies))
+                row = np.array(copies)
+                did = batch["did"].to_numpy()[row]
                 sizes = [windows.size(t.encode()) for t in batch["text"].iloc[row]]
                 n = np.array(sizes) - windows.length + 1
                 out = pd.DataFrame(
@@ -244,7 +255,8 @@ def list_regions(texts: DataFrame, search: Search) -> DataFrame:
                         "key": mix(did.astype(np.uint64) * _M1 + row.astype(np.uint64)).view(np.int64),
                         "content": 0,
                         "did": did,
-                        "sum": total,
+                        "sum": batch["sum"].to_numpy()[row],
+                        "more": batch["more"].to_numpy()[row],
                         "start": 0,
                         "n": n,
                         "inner": False,
@@ -256,57 +268,39 @@ def list_regions(texts: DataFrame, search: Search) -> DataFrame:
     return texts.mapInPandas(run, REGION)
 
 
-def fold_regions(regions: DataFrame, first_stays: bool) -> DataFrame:
-    """Step 2, streaming over regions sorted by key, content and place.
+PLACE = ["did", "sum", "more", "start"]
 
-    ``full``: all windows of the region are repeated; ``rep``: it stands for its
-    content in the index. What becomes of a region depends on its neighbours in
-    that order alone, so one row is held, whatever the size of a group.
-    """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        previous: tuple | None = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if first_stays:
-                # rows that repeat id and text are not earlier than each other
-                rows = rows.drop_duplicates(["key", "content", "did", "sum", "start"])
-            out, previous = decide(rows, previous, last=False)
-            held = rows.iloc[-1:]
-            yield out
-        if held is not None:
-            yield decide(held, previous, last=True)[0]
-
-    def decide(rows: pd.DataFrame, previous: tuple | None, last: bool):
-        """Rows but the held-back last one, decided; the row before the held one."""
-        key, content = rows["key"].to_numpy(), rows["content"].to_numpy()
-        n = len(rows) if last else len(rows) - 1
-        same_key = key[1:] == key[:-1]
-        same = same_key & (content[1:] == content[:-1])
-        before_key = np.r_[previous is not None and previous[0] == key[0], same_key]
-        before = np.r_[previous is not None and previous == (key[0], content[0]), same]
-        after_key, after = np.r_[same_key, False], np.r_[same, False]
-        twin = rows["twin"].to_numpy()
-        full = before | twin if first_stays else before | after | twin
-        rep = ~before & (before_key | after_key | rows["inner"].to_numpy())
-        out = rows[["did", "sum", "start", "n", "inner"]].assign(full=full, rep=rep, key=key)
-        out = out.iloc[:n]
-        if n:
-            previous = (key[n - 1], content[n - 1])
-        return out[(out["full"] | out["rep"]).to_numpy()], previous
-
-    together = regions.repartition("key").sortWithinPartitions(
-        "key", "content", "did", "sum", "start"
+def fold_regions(regions: DataFrame) -> DataFrame:
+    """Step 2: one row per key and content, with its least place and whether it comes again.
+
+    An aggregate with map-side combining: a passage in very many texts is one row per
+    task before the shuffle.
+    """
+    return regions.groupBy("key", "content").agg(
+        F.min(F.struct(*PLACE)).alias("first"),
+        F.first("n").alias("n"),
+        F.max("inner").alias("inner"),
+        ((F.count("*") > 1) | F.max("twin")).alias("again"),
     )
-    return together.mapInPandas(run, FOUND)
+
+
+def repeated_regions(regions: DataFrame, contents: DataFrame, first_stays: bool) -> DataFrame:
+    """(did, sum, more, start, n) of regions of which all windows are repeated.
+
+    The join is by key and content, whose rows on the left can be split at will.
+    """
+    again = contents.where("again").select("key", "content", "first")
+    found = regions.select("key", "content", *PLACE, "n").join(again, ["key", "content"])
+    if first_stays:
+        # rows that repeat id and text are not earlier than each other
+        found = found.where(F.struct(*PLACE) != F.col("first"))
+    return found.select(*PLACE, "n")
 
 
 def cut_regions(texts: DataFrame, wanted: DataFrame, search: Search) -> DataFrame:
     """Regions with their content, cut out of their texts."""
-    lists = wanted.groupBy("did", "sum").agg(
+    lists = wanted.groupBy("did", "sum", "more").agg(
         F.collect_list(F.struct("start", "n", "full", "key")).alias("wanted")
     )
     length, cut = search.windows.length, search.cut
@@ -314,18 +308,18 @@ def cut_regions(texts: DataFrame, wanted: DataFrame, search: Search) -> DataFram
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for did, total, text, regions in zip(
-                batch["did"], batch["sum"], batch["text"], batch["wanted"]
+            for did, total, more, text, regions in zip(
+                batch["did"], batch["sum"], batch["more"], batch["text"], batch["wanted"]
             ):
                 spans = [(r["start"], r["start"] + r["n"] + length - 1) for r in regions]
                 for r, content in zip(regions, cut(text.encode(), spans)):
-                    rows.append((r["key"], did, total, r["start"], r["n"], r["full"], content))
+                    rows.append((r["key"], did, total, more, r["start"], r["n"], r["full"], content))
             yield pd.DataFrame(
-                rows, columns=["key", "did", "sum", "start", "n", "full", "text"]
+                rows, columns=["key", "did", "sum", "more", "start", "n", "full", "text"]
             )
 
-    return texts.join(lists, ["did", "sum"]).mapInPandas(
-        run, "key long, did long, sum int, start int, n int, full boolean, text binary"
+    return texts.join(lists, ["did", "sum", "more"]).mapInPandas(
+        run, "key long, did long, sum long, more long, start int, n int, full boolean, text binary"
     )
 
 
@@ -333,16 +327,16 @@ INDEX_BYTES = 2 << 20
 
 
 def search_regions(regions: DataFrame, search: Search) -> DataFrame:
-    """Step 3: (did, sum, start, n) runs of windows found repeated by the index.
+    """Step 3: (did, sum, more, start, n) runs of windows found repeated by the index.
 
     Whole groups of a key are indexed together, about ``INDEX_BYTES`` at a time.
     """
     index = search.index
 
     def indexed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["key", "did", "sum", "start"])
+        rows = rows.drop_duplicates(["key", "did", "sum", "more", "start"])
         order = np.empty(len(rows), np.int64)
-        order[np.lexsort((rows["start"], rows["sum"], rows["did"]))] = np.arange(len(rows))
+        order[np.lexsort((rows["start"], rows["more"], rows["sum"], rows["did"]))] = np.arange(len(rows))
         n = rows["n"].to_numpy().astype(np.int64)
         hit = index(list(rows["text"]), n, order)
         # runs of hits within a region
@@ -356,6 +350,7 @@ def search_regions(regions: DataFrame, search: Search) -> DataFrame:
             {
                 "did": rows["did"].to_numpy()[r],
                 "sum": rows["sum"].to_numpy()[r],
+                "more": rows["more"].to_numpy()[r],
                 "start": (rows["start"].to_numpy()[r] + a).astype(np.int32),
                 "n": (b - a + 1).astype(np.int32),
             }
@@ -382,8 +377,8 @@ def search_regions(regions: DataFrame, search: Search) -> DataFrame:
         if held:
             yield indexed(pd.concat(held, ignore_index=True))
 
-    together = regions.repartition("key").sortWithinPartitions("key", "did", "sum", "start")
-    return together.mapInPandas(run, "did long, sum int, start int, n int")
+    together = regions.repartition("key").sortWithinPartitions("key", "did", "sum", "more", "start")
+    return together.mapInPandas(run, "did long, sum long, more long, start int, n int")
 
 
 def search_crowded(regions: DataFrame, search: Search) -> DataFrame:
@@ -398,43 +393,44 @@ def search_crowded(regions: DataFrame, search: Search) -> DataFrame:
             ]
             if found:
                 one, two, start = (np.concatenate(x) for x in zip(*found))
-                rest = batch[["did", "sum", "full"]]
+                rest = batch[["did", "sum", "more", "full"]]
                 out = rest.loc[rest.index.repeat(batch["n"])].reset_index(drop=True)
                 yield out.assign(one=one, two=two, start=start.astype(np.int32))
 
     single = regions.mapInPandas(
-        run, "one long, two long, did long, sum int, start int, full boolean"
+        run, "one long, two long, did long, sum long, more long, start int, full boolean"
     ).distinct()
-    first = F.min(F.struct("did", "sum", "start")).alias("first")
+    first = F.min(F.struct("did", "sum", "more", "start")).alias("first")
     met = single.groupBy("one", "two").agg(F.count("*").alias("times"), first).where("times > 1")
     repeated = single.join(met, ["one", "two"]).where(~F.col("full"))
     if first_stays:
-        repeated = repeated.where(F.struct("did", "sum", "start") != F.col("first"))
-    return repeated.select("did", "sum", "start", F.lit(1).alias("n"))
+        repeated = repeated.where(F.struct("did", "sum", "more", "start") != F.col("first"))
+    return repeated.select("did", "sum", "more", "start", F.lit(1).alias("n"))
 
 
 def repeated_windows(texts: DataFrame, search: Search) -> DataFrame:
-    """(did, sum, spans) of the texts with repeated windows; spans of (start, n) windows.
+    """(did, sum, more, spans) of the texts with repeated windows; spans of (start, n) windows.
 
     ``texts`` comes from ``keyed``. Joins with it use its columns as they are, so
     that one shuffle of the texts serves them all.
     """
-    found = materialize(fold_regions(list_regions(texts, search), search.first_stays), "regions")
-    reps = found.where("rep")
-    groups = reps.groupBy("key").agg(
-        F.count("*").alias("contents"), F.max("inner").alias("any_inner")
+    regions = materialize(list_regions(texts, search), "regions")
+    contents = materialize(fold_regions(regions), "contents")
+    groups = contents.groupBy("key").agg(F.count("*").alias("contents"), F.max("inner").alias("any_inner"))
+    # one region stands for its content in the index
+    full = F.lit(False) if search.first_stays else F.col("again")
+    counted = contents.join(groups.where("contents > 1 or any_inner"), "key").select(
+        "key", "first.*", "n", full.alias("full"), "contents"
     )
-    counted = reps.join(groups.where("contents > 1 or any_inner"), "key")
     few = counted.where(F.col("contents") <= MAX_REGIONS)
     many = counted.where(F.col("contents") > MAX_REGIONS)
     spans = (
-        found.where("full")
-        .select("did", "sum", "start", "n")
+        repeated_regions(regions, contents, search.first_stays)
         .unionByName(search_regions(cut_regions(texts, few, search), search))
         .unionByName(search_crowded(cut_regions(texts, many, search), search))
     )
     # rows that repeat id and text find the same spans: a set is no longer than one text's
-    return spans.groupBy("did", "sum").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    return spans.groupBy("did", "sum", "more").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def merged(spans: list, length: int) -> list[tuple[int, int]]:
@@ -452,7 +448,7 @@ def merged(spans: list, length: int) -> list[tuple[int, int]]:
 
 def joined(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """Every text with its spans, null where it has none."""
-    return texts.join(spans, ["did", "sum"], "left")
+    return texts.join(spans, ["did", "sum", "more"], "left")
 
 
 def doc_id() -> Column:

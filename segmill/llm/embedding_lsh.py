@@ -61,7 +61,9 @@ def directions(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def bucket_keys(vectors: np.ndarray) -> np.ndarray:
     """Bucket of each vector in each table, mixed to 32 bits."""
     along, shift, mix = directions(vectors.shape[1])
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    # scaled by the largest component first, so that no square under- or overflows
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
     cells = np.floor((unit @ along + shift) / WIDTH).astype(np.int64).view(np.uint64)
     mixed = (cells.reshape(-1, TABLES, PROJECTIONS) * mix).sum(axis=2, dtype=np.uint64)
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)

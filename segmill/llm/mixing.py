@@ -26,6 +26,7 @@ from segmill.session import materialize
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
+TASK_SLOTS = 1 << 16
 BUCKET_DOCS = 20_000
 MAX_PASSES = 3
 CYCLE = (1, 2, 3)
@@ -191,7 +192,10 @@ def slots(
             F.least(F.col("from") + shard_slots, "quota").alias("to"),
         )
     )
-    ranked = drawn.unionByName(missing).select(
+    # runs of slots are short rows of few files: spread them before they become slots
+    tasks = max(1, -(-n_slots // TASK_SLOTS))
+    spread = drawn.unionByName(missing).repartition(tasks, "shard", "sid", "from")
+    ranked = spread.select(
         "shard", "sid", F.explode(F.expr("sequence(`from`, `to` - 1)")).alias("rank")
     )
     keyed = ranked.join(sources, "sid")

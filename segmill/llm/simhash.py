@@ -24,19 +24,44 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmill.llm.bktree import BITS, Forest, merge_labels
 from segmill.llm.components import connected_components
-from segmill.llm.jaccard import SEED, SIMILARITY, near_classes, shingle_hashes
 from segmill.session import materialize
 
+SHINGLE_WORDS = 4
 RADIUS = 4
+SEED = 42
 SHARD = 4096
 PAIRS_AT_ONCE = 2_000_000
 
 
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """Hashes of all shingles of a text, in text order.
+
+    Only A-Z are lower-cased. A text with fewer words than a shingle has one
+    shingle, its whole word sequence; without words it has none.
+    """
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    n = max(1, len(found) - shingle_words + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.array(
+        [
+            digest(joined[a:b], SEED)
+            for a, b in zip(starts[:n].tolist(), ends[len(found) - n :].tolist())
+        ],
+        dtype=np.uint64,
+    )
+
+
 def simhash(text: str | None, shingle_words: int) -> int:
     """Fingerprint of a text, as a signed 64-bit number.
 
@@ -53,7 +78,7 @@ def simhash(text: str | None, shingle_words: int) -> int:
     return int(chosen.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 4, text_column: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, text_column: str = "text") -> DataFrame:
     """doc_id and fingerprint of every row."""
 
     @F.pandas_udf("long")
@@ -199,20 +224,19 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(of_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """The document with the smallest id of each component of near copies, columns kept.
-
-    Documents link where the Jaccard similarity of their shingles reaches ``similarity``.
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """The document with the smallest id of each class of near copies, columns kept.
 
     Rows with the same id are one document: one of them stays. A row without an id
     gets one from its text, above all others, so texts that repeat without an id
-    stay once, and not at all if a document with an id links to them.
+    stay once, and not at all if a document with an id links to them. Texts without
+    words share a fingerprint and so are one class.
     """
     names = docs.columns
     stand_in = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62).cast("long"))
     row = F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row")
     keyed = docs.select(row, F.coalesce("doc_id", stand_in).alias("doc_id"), "text")
-    found = near_classes(keyed, shingle_words, similarity)
+    found = classes(fingerprints(keyed, shingle_words), radius)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     rows = keyed.select("_row", "doc_id").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rows.select(*[F.col("_row")[n].alias(n) for n in names])

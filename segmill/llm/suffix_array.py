@@ -157,7 +157,7 @@ SEARCH = anchors.Search(
 
 
 def removed_runs(docs: DataFrame) -> DataFrame:
-    """did, sum, text and spans of every row; ``anchors.merged`` turns spans into byte runs."""
+    """did, sum, more, text and spans of every row; ``anchors.merged`` turns spans into byte runs."""
     texts = anchors.keyed(docs)
     return anchors.joined(texts, anchors.repeated_windows(texts, SEARCH))
 
@@ -225,10 +225,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"),
         F.coalesce("doc_id", F.lit(anchors.NULL_ID)).cast("long").alias("did"),
-        F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 33).cast("int").alias("sum"),
+        *anchors.text_sums(F.coalesce("text", F.lit(""))),
     )
     # only texts with spans go to the workers
-    judged = rows.join(spans, ["did", "sum"], "left")
+    judged = rows.join(spans, ["did", "sum", "more"], "left")
     changed = judged.select(
         "_row",
         F.when(F.col("spans").isNull(), F.col("_row")["text"])

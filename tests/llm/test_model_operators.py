@@ -289,3 +289,60 @@ def test_copies_without_id_share_one_set_of_spans(spark):
     assert sorted(got) == sorted(brute_bytes(texts))
     kept = [r.text for r in suffix_array.remove_repeats(frame).collect()]
     assert sorted(kept) == [""] * 60 + [" end", "short"]
+
+
+def test_texts_whose_hashes_collide(docs, spark, monkeypatch):
+    """Rows without an id stay apart by the second half of their texts' hashes."""
+    rows = [(None if i % 2 else 5, r.text, r.n_chars, 0) for i, r in enumerate(docs.collect())]
+    colliding = spark.createDataFrame(rows, DOCS)
+    texts = [(r[1] or "").encode() for r in rows]
+    monkeypatch.setattr(anchors, "SUM_MASK", 0)
+    got = [tuple(r)[1:] for r in suffix_array.digests(colliding).collect()]
+    assert sorted(got) == sorted(brute_bytes(texts))
+    kept = Counter(r.n_chars for r in suffix_array.remove_repeats(colliding).where("text is not null").collect())
+    assert kept[len("short")] == 1 and kept[len(rows[-1][1])] == 1
+    # texts that share no window with another lose no word
+    alone = {"short", rows[-1][1]}
+    words = {(r.n_words, r.n_removed) for r in substring.digests(colliding).collect()}
+    assert {(len(t.split()), 0) for t in alone} <= words
+
+
+def planted_pairs(rng, n, dim, cosine):
+    one = rng.normal(size=(n, dim))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other = rng.normal(size=(n, dim))
+    other -= (other * one).sum(axis=1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    return one, cosine * one + np.sqrt(1 - cosine**2) * other
+
+
+@pytest.mark.parametrize("cosine, least", [(0.9301, 0.93), (0.95, 0.97), (0.97, 0.99), (0.99, 0.999)])
+def test_recall_of_buckets(cosine, least):
+    one, other = planted_pairs(np.random.default_rng(2), 4000, 64, cosine)
+    met = (embedding_lsh.bucket_keys(one) == embedding_lsh.bucket_keys(other)).any(axis=1)
+    assert met.mean() >= least
+
+
+@pytest.mark.parametrize("scale", [1e-200, 1e200])
+def test_buckets_do_not_depend_on_length(scale):
+    vectors = np.random.default_rng(1).normal(size=(50, 64))
+    same = embedding_lsh.bucket_keys(vectors * scale) == embedding_lsh.bucket_keys(vectors)
+    # scaling rounds the last bit, which may move a projection over the border of its cell
+    assert same.mean() > 0.999
+
+
+def test_planted_links_are_found(spark):
+    rng = np.random.default_rng(9)
+    one, other = planted_pairs(rng, 200, 64, 0.98)
+    apart = planted_pairs(rng, 200, 64, 0.90)
+    rows = [(2 * i + k, v.tolist(), i % 3) for i, pair in enumerate(zip(one, other)) for k, v in enumerate(pair)]
+    rows += [
+        (1000 + 2 * i + k, v.tolist(), i % 3) for i, pair in enumerate(zip(*apart)) for k, v in enumerate(pair)
+    ]
+    rows += [(5000, (one[0] * 1e-200).tolist(), 0), (5001, (one[1] * 1e200).tolist(), 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_lsh.near_duplicates(frame).collect()}
+    linked = sum(got[2 * i].component_id == got[2 * i + 1].component_id for i in range(200))
+    assert linked >= 198
+    assert all(got[i].n_links == 0 for i in range(1000, 1400))
+    assert got[5000].component_id == 0 and got[5001].component_id == 2
