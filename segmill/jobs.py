@@ -91,7 +91,7 @@ def density_labels(spark: SparkSession, customers: str, out: str, min_size: int
     """Density clusters, -1 for noise, in the plane of the principal components."""
     scores = projection.pca_2d(_matrix(spark, customers)).withColumnsRenamed({"pc1": "x", "pc2": "y"})
     points = materialize(scores, "points")
-    eps = density.suggest_eps(points, min_size, share)
+    eps = density.eps_by_k_distance(points, min_size, share)
     labels = density.density_clusters(points, eps, min_size, min_size)
     labels.withColumn("eps", F.lit(eps)).write.mode("overwrite").parquet(out)
 

@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from segmill.operators.profile import random_sample
 
 Centres = Sequence[Sequence[float]]
 
 # Far beyond what a fit takes; it is there to end one that swings to and fro.
 MAX_ITERATIONS = 1000
+TOLERANCE = 1e-6
+# Rows that starting centres are drawn from.
+START_ROWS = 10_000
+# A centre with less than this share of the largest weight is starved.
+STARVED = 0.01
 
 CENTRES_SCHEMA = "cluster int, center array<double>, weight double"
 
@@ -102,22 +107,100 @@ def kmeans_fit_predict(matrix: DataFrame, k: int = 3, seed: int = 42) -> DataFra
     return kmeans_labels(matrix, k, seed, "cluster").select("id_client", "cluster")
 
 
-def kmeans_elbow(
-    matrix: DataFrame, k_values: Sequence[int] = tuple(range(1, 15)), seed: int = 42, parallelism: int = 4
-) -> DataFrame:
-    """``k, inertia`` per k, over a matrix cached once for all the fits."""
-    cached = matrix.persist(StorageLevel.MEMORY_AND_DISK)
-    def inertia(k: int) -> float:
-        if k == 1:
-            return total_inertia(cached)
-        return float(_fit(cached, k, seed).summary.trainingCost)
-
-    try:
-        require_rows(cached, max(k_values))
-        with ThreadPoolExecutor(parallelism) as pool:
-            curve = list(zip(k_values, pool.map(inertia, k_values)))
-    finally:
-        cached.unpersist()
+def starting_centres(matrix: DataFrame, k_values: Sequence[int], seed: int = 42, rows: int = START_ROWS) -> dict:
+    """Per k, rows far from each other (k-means++), drawn from ``rows`` rows chosen by content."""
+    some = random_sample(matrix.select("id_client", "features"), rows, seed, ["id_client"])
+    found = sorted((row["id_client"], row["features"].toArray().tolist()) for row in some.collect())
+    sample = np.array([vector for _, vector in found])
+    starts = {}
+    for k in k_values:
+        draw = np.random.default_rng([seed, k])
+        chosen = [int(draw.integers(len(sample)))]
+        nearest = ((sample - sample[chosen[0]]) ** 2).sum(axis=1)
+        while len(chosen) < k:
+            # where rows repeat too often for k centres, any row serves
+            weights = nearest / nearest.sum() if nearest.sum() > 0 else None
+            chosen.append(int(draw.choice(len(sample), p=weights)))
+            nearest = np.minimum(nearest, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+        starts[k] = sample[chosen]
+    return starts
+
+
+def _joint_totals(matrix: DataFrame, models: dict[int, np.ndarray]) -> dict[int, list]:
+    """Per model, its clusters' rows as (cluster, n, inertia, total): one scan and one aggregate for all."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = np.stack(batch["row"].to_numpy())
+            lengths = np.einsum("ij,ij->i", rows, rows)
+            for model, centres in models.items():
+                distances = lengths[:, None] - 2 * rows @ centres.T + np.einsum("ij,ij->i", centres, centres)
+                nearest = distances.argmin(axis=1)
+                least = np.maximum(distances[np.arange(len(rows)), nearest], 0)
+                for cluster in np.unique(nearest):
+                    mine = nearest == cluster
+                    had = sums.setdefault((model, int(cluster)), [0, 0.0, np.zeros(rows.shape[1])])
+                    had[0] += int(mine.sum())
+                    had[1] += float(least[mine].sum())
+                    had[2] += rows[mine].sum(axis=0)
+        if sums:
+            names = pd.DataFrame(list(sums), columns=["model", "cluster"])
+            yield names.assign(**{c: [v[i] for v in sums.values()] for i, c in enumerate(("n", "inertia", "total"))})
+
+    parts = matrix.select(vector_to_array("features").alias("row")).mapInPandas(
+        run, "model int, cluster int, n long, inertia double, total array<double>"
+    )
+    found = parts.groupBy("model", "cluster").agg(
+        F.sum("n").alias("n"),
+        F.sum("inertia").alias("inertia"),
+        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
+    )
+    by_model: dict[int, list] = {}
+    for row in found.collect():
+        by_model.setdefault(row["model"], []).append(row)
+    return by_model
+
+
+def joint_kmeans(
+    matrix: DataFrame, starts: dict[int, np.ndarray], max_iter: int = MAX_ITERATIONS, tolerance: float = TOLERANCE
+) -> tuple[dict[int, tuple[np.ndarray, float]], int]:
+    """Centres and inertia of several models by Lloyd steps taken together, and the number of scans.
+
+    Each scan moves the centres of all models that are not done; a model whose centres
+    stand still, to ``tolerance``, drops out after its inertia is known. A centre without rows stays.
+    """
+    models = {model: np.asarray(centres, dtype="float64") for model, centres in starts.items()}
+    still: set[int] = set()
+    found: dict[int, tuple[np.ndarray, float]] = {}
+    scans = 0
+    while models:
+        totals = _joint_totals(matrix, models)
+        scans += 1
+        for model, centres in list(models.items()):
+            rows = totals.get(model, [])
+            if model in still or scans > max_iter:
+                found[model] = centres, float(sum(row["inertia"] for row in rows))
+                del models[model]
+                if model not in still:
+                    warnings.warn(f"k-means {model} stopped after {max_iter} iterations", stacklevel=2)
+                continue
+            moved = centres.copy()
+            for row in rows:
+                moved[row["cluster"]] = np.array(row["total"]) / row["n"]
+            if np.abs(moved - centres).max(initial=0) <= tolerance:
+                still.add(model)
+            models[model] = moved
+    return found, scans
+
+
+def kmeans_elbow(matrix: DataFrame, k_values: Sequence[int] = tuple(range(1, 15)), seed: int = 42) -> DataFrame:
+    """``k, inertia`` per k, all models fitted together: as many scans as the slowest needs."""
+    require_rows(matrix, max(k_values))
+    found, _ = joint_kmeans(matrix, starting_centres(matrix, k_values, seed))
+    curve = [(k, found[k][1]) for k in k_values]
     return matrix.sparkSession.createDataFrame(curve, "k int, inertia double")
 
 
@@ -149,6 +232,43 @@ def minibatch_step(
     return new_centres, new_weights
 
 
+def reassign_starved(
+    batch: DataFrame, centres: Centres, weights: Sequence[float], seed: int
+) -> tuple[list[list[float]], list[float]]:
+    """Moves centres that attract hardly any rows to rows of the batch that lie far from all centres.
+
+    Rows are drawn without replacement, weighted by their squared distance: of -ln(u) / weight,
+    with u from a seeded hash of the id, the smallest win, so every task keeps as many as there
+    are starved centres. A moved centre takes the least weight of the others.
+    """
+    starved = [i for i, w in enumerate(weights) if w < STARVED * max(weights)]
+    if not starved:
+        return [list(c) for c in centres], list(weights)
+    table = np.asarray(centres, dtype="float64")
+
+    @F.pandas_udf("double")
+    def squared(points: pd.Series) -> pd.Series:
+        if points.empty:
+            return pd.Series([], dtype="float64")
+        rows = np.stack(points.to_numpy())
+        return pd.Series(np.min([((rows - centre) ** 2).sum(axis=1) for centre in table], axis=0))
+
+    even = (F.pmod(F.xxhash64(F.lit(seed), "id_client"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    far = batch.select("id_client", "features", squared(vector_to_array("features")).alias("weight"))
+    drawn = (
+        far.where("weight > 0")
+        .orderBy(-F.ln(even) / F.col("weight"), "id_client")
+        .limit(len(starved))
+        .select("features")
+        .collect()
+    )
+    moved, new_weights = [list(c) for c in centres], list(weights)
+    least = min(w for i, w in enumerate(weights) if i not in starved)
+    for i, row in zip(starved, drawn):
+        moved[i], new_weights[i] = row["features"].toArray().tolist(), least
+    return moved, new_weights
+
+
 def centres_frame(spark, centres: Centres, weights: Sequence[float]) -> DataFrame:
     rows = [(i, [float(v) for v in c], float(w)) for i, (c, w) in enumerate(zip(centres, weights))]
     return spark.createDataFrame(rows, CENTRES_SCHEMA)
@@ -169,6 +289,7 @@ def minibatch_kmeans(
     it the ids are cut into ``batches`` ranges, since each step is a job of its
     own and few large ones keep a cluster busy. First centres come from a
     seeded k-means on the first batch, or on more where that has under k rows.
+    After each step, starved centres move to rows of the batch.
     """
     top = matrix.agg(F.max("id_client")).first()[0]
     require_rows(matrix, k)
@@ -181,4 +302,5 @@ def minibatch_kmeans(
     for start in range(0, top + 1, width):
         batch = matrix.where((F.col("id_client") >= start) & (F.col("id_client") < start + width))
         centres, weights = minibatch_step(batch, centres, weights)
+        centres, weights = reassign_starved(batch, centres, weights, seed + start)
     return centres, weights

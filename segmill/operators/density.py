@@ -20,7 +20,7 @@ from __future__ import annotations
 from functools import reduce
 from math import sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmill.operators.ids import assign_dense_id
@@ -212,6 +212,192 @@ def _touching_cells(core: DataFrame, eps: float) -> DataFrame:
         )
 
 
+def _weighed_boxes(placed: DataFrame) -> DataFrame:
+    """Bounding box, places and points of each sub-cell; ``m`` points share a place."""
+    return placed.groupBy(*BOX).agg(
+        F.min("x").alias("x0"),
+        F.max("x").alias("x1"),
+        F.min("y").alias("y0"),
+        F.max("y").alias("y1"),
+        F.count("*").alias("places"),
+        F.sum("m").alias("n"),
+    )
+
+
+def neighbour_counts(points: DataFrame, eps: float) -> DataFrame:
+    """``id_client, x, y, neighbours``: how many points, itself included, lie within ``eps`` of each.
+
+    Pairs of boxes are settled from the cells down. Where even the farthest corners of two
+    boxes lie within ``eps``, the points of one count for the other as a number; where the
+    nearest do not, they don't count at all. Only what the circle's border cuts is split
+    further, and compared place by place once it is small, so a crowded cell costs its
+    border and not its square. Points at one place are one place with their number.
+    """
+    side = eps / sqrt(2)
+    state = _box_state(eps)
+    small = F.col("a_places") * F.col("b_places") <= COMPARED
+    placed_points = materialize(_with_cells(points, eps), "points")
+    place = ["cx", "cy", "x", "y"]
+    places = materialize(placed_points.groupBy(*place).agg(F.count("*").alias("m")), "places")
+    n_places = places.count()
+
+    placed = _with_sub_cells(places, side, 0)
+    boxes = _weighed_boxes(placed)
+    near = boxes.select("*", _shifted([(0, 0), *NEAR_CELLS]).alias("t")).select(
+        *[F.col(c).alias(f"a_{c}") for c in boxes.columns],
+        F.col("t.tx").alias("b_cx"),
+        F.col("t.ty").alias("b_cy"),
+    )
+    pairs = near.join(_prefixed(boxes, "b_"), ["b_cx", "b_cy"])
+    counted, level = [], 0
+    while True:
+        settled = materialize(pairs.withColumn("state", state).where(F.coalesce("state", F.lit(True))), "pairs")
+        whole = settled.where("state").groupBy(*[F.col(f"a_{c}").alias(c) for c in BOX])
+        whole = whole.agg(F.sum("b_n").alias("more"), F.max("a_places").alias("n"))
+        more = join_totals(placed, whole, BOX, ["more"], n_rows=n_places)
+        counted.append(more.where("more is not null").select(*place, "more"))
+        still_open = settled.where("state is null")
+        counted.append(_counted_pairs(placed, still_open.where(small), eps))
+        still_open = still_open.where(~small)
+        if still_open.isEmpty():
+            break
+        level += 1
+        open_places = places.join(_cells_of(still_open, ["cx", "cy"]), ["cx", "cy"], "left_semi")
+        placed = _with_sub_cells(open_places, side, level)
+        children = _weighed_boxes(placed).withColumns({f"p{c}": F.floor(F.col(f"s{c}") / SPLIT) for c in "xy"})
+        parents = still_open.select(
+            *PAIR, *[F.col(f"{s}_s{axis}").alias(f"{s}_p{axis}") for s in "ab" for axis in "xy"]
+        )
+        pairs = parents.join(_prefixed(children, "a_"), ["a_cx", "a_cy", "a_px", "a_py"]).join(
+            _prefixed(children, "b_"), ["b_cx", "b_cy", "b_px", "b_py"]
+        )
+    totals = reduce(DataFrame.unionAll, counted).groupBy(*place).agg(F.sum("more").alias("neighbours"))
+    totals = materialize(totals.join(places.withColumnRenamed("m", "n"), place), "neighbours")
+    found = join_totals(placed_points, totals, place, ["neighbours"], n_rows=placed_points.count())
+    return found.select("id_client", "x", "y", "neighbours")
+
+
+def _counted_pairs(placed: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+    """Per place of small boxes: the points within ``eps`` of it in the boxes they are paired with."""
+    wanted = placed.join(_cells_of(pairs, BOX), BOX, "left_semi")
+    keys = {side: [f"{side}_{c}" for c in BOX] for side in "ab"}
+    dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
+    return (
+        pairs.select(*keys["a"], *keys["b"])
+        .join(_prefixed(wanted, "a_"), keys["a"])
+        .join(_prefixed(wanted, "b_"), keys["b"])
+        .where(dx * dx + dy * dy <= eps * eps)
+        .groupBy(*[F.col(f"a_{c}").alias(c) for c in ("cx", "cy", "x", "y")])
+        .agg(F.sum("b_m").alias("more"))
+    )
+
+
+def density_neighbours(points: DataFrame, eps: float, min_points: int = 10) -> DataFrame:
+    """``id_client, x, y, neighbours, is_core`` of every point, the count exact."""
+    return neighbour_counts(points, eps).withColumn("is_core", F.col("neighbours") >= min_points)
+
+
+# A point's cell holds this many times k places on average when the search begins.
+SEARCHED = 8
+
+
+def k_distances(points: DataFrame, k: int, slice_points: int = SLICE_POINTS) -> DataFrame:
+    """``id_client, x, y, k_distance``: how far the ``k``-th nearest point is, itself counted as the first.
+
+    Rings of cells grow around what is still open: all places within a cell's width lie in
+    the ring of cells around it, so a place that finds ``k`` points within that width is
+    done, and the others look again in cells twice as wide. The search begins with cells
+    that hold some ``k`` places for most points. A cell with very many places is searched
+    in slices, and of what a place finds only ``k`` go on. Null where there are under ``k`` points.
+    """
+    stored = materialize(points.select("id_client", "x", "y"), "points")
+    places = materialize(stored.groupBy("x", "y").agg(F.count("*").alias("m")), "places")
+    ends = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.sum("m"), F.count("*")).first()
+    n_points, n_places = ends[4] or 0, ends[5]
+    # with a place for each k points and no others, distances are zero
+    done = [places.where(F.col("m") >= k).select("x", "y", F.lit(0.0).alias("k_distance"))]
+    pending = places.where(F.col("m") < k)
+    if n_points < k:
+        done, pending = [places.select("x", "y", F.lit(None).cast("double").alias("k_distance"))], pending.limit(0)
+    width = max(ends[1] - ends[0], ends[3] - ends[2]) or 1.0 if n_points else 1.0
+    side = _first_side(places, width, k)
+    per_slice = max(slice_points, -(-n_places // SLICES))
+    nearest = Window.partitionBy("x", "y").orderBy("d2", "qx", "qy")
+    while not pending.isEmpty():
+        cells = {f"t{c}": F.floor(F.col(c) / side) for c in "xy"}
+        placed = places.withColumns(cells)
+        held = placed.groupBy("tx", "ty").agg(F.count("*").alias("n")).where(F.col("n") > per_slice)
+        slices = F.broadcast(held.select("tx", "ty", F.ceil(F.col("n") / per_slice).cast("int").alias("_slices")))
+        targets = (
+            placed.select("tx", "ty", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("m").alias("qm"))
+            .join(slices, ["tx", "ty"], "left")
+            .withColumn("slice", F.pmod(F.xxhash64("qx", "qy"), F.coalesce("_slices", F.lit(1))).cast("int"))
+            .drop("_slices")
+        )
+        around = F.explode(
+            F.array(
+                *[
+                    F.struct((cells["tx"] + dx).alias("tx"), (cells["ty"] + dy).alias("ty"))
+                    for dx in (-1, 0, 1)
+                    for dy in (-1, 0, 1)
+                ]
+            )
+        )
+        probes = (
+            pending.select("x", "y", around.alias("t"))
+            .select("x", "y", "t.*")
+            .join(slices, ["tx", "ty"], "left")
+            .withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
+            .drop("_slices")
+        )
+        dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
+        met = probes.join(targets, ["tx", "ty", "slice"]).withColumn("d2", dx * dx + dy * dy)
+        # every place is a point at least, so the k nearest places hold the k-th point
+        few = met.where(F.col("d2") <= side * side).withColumn("nth", F.row_number().over(nearest))
+        upto = F.sum("qm").over(nearest.rowsBetween(Window.unboundedPreceding, 0))
+        reached = few.where(F.col("nth") <= k).withColumn("upto", upto).where(F.col("upto") >= k)
+        found = reached.groupBy("x", "y").agg(F.sqrt(F.min("d2")).alias("k_distance"))
+        found = materialize(found, "distances")
+        done.append(found)
+        pending = materialize(pending.join(found, ["x", "y"], "left_anti"), "pending")
+        side *= 2
+    totals = reduce(DataFrame.unionAll, done).join(places.withColumnRenamed("m", "n"), ["x", "y"])
+    totals = materialize(totals, "distances")
+    joined = join_totals(stored, totals, ["x", "y"], ["k_distance"], n_rows=n_points)
+    return joined.select("id_client", "x", "y", "k_distance")
+
+
+def _first_side(places: DataFrame, width: float, k: int, rungs: int = 24) -> float:
+    """The widest of a halving ladder of cells that hold few places, as a place sees them on average."""
+    tried = [width / 2**i for i in range(rungs)]
+    cell = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("i"), F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")
+                )
+                for i, side in enumerate(tried)
+            ]
+        )
+    )
+    counts = places.select(cell.alias("c")).groupBy("c").agg(F.count("*").cast("double").alias("n"))
+    seen = counts.groupBy("c.i").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("seen"))
+    few = [row["i"] for row in seen.where(F.col("seen") <= SEARCHED * k).collect()]
+    return tried[min(few)] if few else tried[-1]
+
+
+def eps_by_k_distance(points: DataFrame, min_points: int = 10, share: float = 0.9, accuracy: int = 10_000) -> float:
+    """The radius within which ``share`` of the points have ``min_points`` neighbours.
+
+    A percentile of the k-distances by a mergeable quantile sketch, good to 1/``accuracy`` of the ranks.
+    """
+    distances = k_distances(points, min_points)
+    found = distances.agg(F.percentile_approx("k_distance", share, accuracy)).first()[0]
+    if not found:
+        raise ValueError(f"no radius makes {share:.0%} of the points core with {min_points} neighbours")
+    return found
+
+
 def _components(edges: DataFrame) -> DataFrame:
     """``node, component`` by alternating large-star and small-star (Kiveris et al. 2014).
 
@@ -335,6 +521,6 @@ def _certain_shares(points: DataFrame, radii: list[float], min_points: int) -> l
 
 def density_noise_share(labels: DataFrame) -> DataFrame:
     """Points and their share per label, noise included."""
-    whole = labels.agg(F.count("*")).scalar()
-    counts = labels.groupBy("label").agg(F.count("*").alias("n_points"))
+    counts = materialize(labels.groupBy("label").agg(F.count("*").alias("n_points")), "counts")
+    whole = counts.agg(F.sum("n_points")).first()[0] or 1
     return counts.withColumn("share", F.col("n_points") / whole)

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segmill.operators.ids import assign_dense_id
-
-# Ranges that random draws are counted in; their counts are all that the driver gets.
-DRAW_RANGES = 1 << 14
-
 
 def null_profile(df: DataFrame) -> DataFrame:
     """Columns with missing values (null or NaN) and how many, in one pass."""
@@ -32,20 +29,24 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 
 
-def random_sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` random rows (all rows when there are fewer).
+def random_sample(df: DataFrame, n: int, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """``n`` random rows (all rows when there are fewer), the same however ``df`` is partitioned.
 
-    The ``n`` smallest of a random draw per row. Counts per range of draws tell which
-    ranges hold them; only rows of these are ranked, in as many tasks as they need.
-    ``df`` is read twice and should give its rows in the same partitions again, as a
-    stored table does.
+    Those whose ``keys`` (all columns, where none are named) have the smallest seeded digests;
+    rows that share these share their fate but for the last, where the whole row decides. Every
+    task keeps ``n`` rows at most. Digests are even, so nearly all rows are passed over
+    by a bound above which the ``n``-th cannot lie but by a chance of one in millions;
+    should it do so, the rows are ranked without the bound.
     """
-    drawn = df.withColumn("_draw", F.rand(seed))
-    counts = drawn.groupBy(F.floor(F.col("_draw") * DRAW_RANGES).alias("range")).agg(F.count("*").alias("n"))
-    seen, last = 0, 0
-    for row in sorted(counts.collect()):
-        if seen >= n:
-            break
-        seen, last = seen + row["n"], row["range"]
-    near = drawn.where(F.floor(F.col("_draw") * DRAW_RANGES) <= last)
-    return assign_dense_id(near, ["_draw"], "_rank").where(F.col("_rank") < n).drop("_draw", "_rank")
+    names = list(keys) or df.columns
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]
+    drawn = df.withColumn("_draw", F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *parts)))
+    n_rows = df.count()
+    likely = n + 6 * n**0.5 + 50
+    if likely < n_rows:
+        bound = f"{int(likely / n_rows * 2**60):015x}"
+        near = drawn.where(F.col("_draw") < bound)
+        if near.count() >= n:
+            drawn = near
+    order = [F.col("_draw"), *[F.col(c) for c in df.columns if c not in names], *[F.col(c) for c in names]]
+    return drawn.orderBy(*order).limit(n).drop("_draw")

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from segmill.plans.settings import (
     AS_OF,
-    CENTRE_COLUMNS,
     CENTRE_WEIGHTS,
-    CENTRES,
     CSV_PARTS,
     DENSITY_COLUMNS,
     EPS,
@@ -20,6 +18,7 @@ from segmill.plans.settings import (
     MIN_POINTS,
     N_BRANDS,
     N_CATEGORIES,
+    N_CENTRES,
     RANGE_END,
     RANGE_START,
 )
@@ -183,21 +182,33 @@ def _marked_missing(column: str) -> str:
     return f"case when lower(trim({column})) in ('', 'nan') then null else {column} end as {column}"
 
 
-_centre_rows = ", ".join(
-    f"({i}, {j}, {value!r}, {CENTRE_WEIGHTS[i]!r})"
-    for i, centre in enumerate(CENTRES)
-    for j, value in enumerate(centre)
+_long_z = " union all ".join(
+    f"select id_client, {k} as position, {c}_z as value from scaled" for k, c in enumerate(NUMERIC_FEATURES)
 )
-_centre_columns = " union all ".join(
-    f"select id_client, {j} as dim, {c}_z as value from scaled" for j, c in enumerate(CENTRE_COLUMNS)
-)
-ASSIGNED = f"""{SCALED},
-centres(cluster, dim, centre, weight) as (values {_centre_rows}),
-long_rows as ({_centre_columns}),
-distances as (select id_client, cluster, sum((value - centre) * (value - centre)) as distance
-  from long_rows join centres using (dim) group by id_client, cluster),
+# The matrix by entry; zeros of the one-hot blocks are not listed.
+ENTRIES = f"""{SCALED},
+slots as (select id_client, 1.0 as value,
+    {len(NUMERIC_FEATURES)} + dense_rank() over (order by most_common_category) - 1 as category_position,
+    {len(NUMERIC_FEATURES)} + (select count(distinct most_common_category) from scaled)
+      + dense_rank() over (order by most_common_brand) - 1 as brand_position
+  from scaled),
+entries as (
+  select id_client, cast(position as int) as position, cast(value as double) as value from ({_long_z})
+  union all select id_client, cast(category_position as int), cast(value as double) from slots
+  union all select id_client, cast(brand_position as int), cast(value as double) from slots)"""
+
+ASSIGNED = f"""{ENTRIES},
+centres as (select id_client as cluster, position, value from entries where id_client < {N_CENTRES}),
+lengths as (select id_client, sum(value * value) as length from entries group by id_client),
+products as (select e.id_client, c.cluster, sum(e.value * c.value) as product
+  from entries e join centres c using (position) group by all),
+distances as (select a.id_client, b.id_client as cluster, a.length + b.length - 2 * coalesce(product, 0) as distance
+  from lengths a join lengths b on b.id_client < {N_CENTRES}
+    left join products p on p.id_client = a.id_client and p.cluster = b.id_client),
 assigned as (select id_client, cast(arg_min(cluster, {{'d': distance, 'c': cluster}}) as int) as cluster
-  from distances group by id_client)"""
+  from distances group by id_client),
+positions as (select distinct position from entries),
+weights(cluster, weight) as (values {", ".join(f"({i}, {w!r})" for i, w in enumerate(CENTRE_WEIGHTS))})"""
 
 _x, _y = DENSITY_COLUMNS
 NEIGHBOURS = f"""{SCALED},
@@ -233,22 +244,9 @@ _nulls = " union all ".join(
 
 
 def oracle_sql() -> dict[str, str]:
-    long_z = " union all ".join(
-        f"select id_client, {k} as k, '{c}_z' as name, {c}_z as value from scaled" for k, c in enumerate(NUMERIC_FEATURES)
-    )
     stored_events = f"with {CLEANED} {cleaned('present', 'event_time', CSV_PRICE)}"
-    entries = f"""with {SCALED},
-  slots as (select id_client, 1.0 as value,
-      {len(NUMERIC_FEATURES)} + dense_rank() over (order by most_common_category) - 1 as category_position,
-      {len(NUMERIC_FEATURES)} + (select count(distinct most_common_category) from scaled)
-        + dense_rank() over (order by most_common_brand) - 1 as brand_position
-    from scaled),
-  entries as (
-    select id_client, k as position, value from ({long_z})
-    union all select id_client, category_position, value from slots
-    union all select id_client, brand_position, value from slots)
-  select id_client, cast(position as int) as position, round(cast(value as double), 6) as value
-  from entries where round(value, 6) <> 0"""
+    entries = f"""with {ENTRIES}
+  select id_client, position, round(value, 6) as value from entries where round(value, 6) <> 0"""
     return {
         "customer_metrics": from_customers(
             [
@@ -346,23 +344,36 @@ def oracle_sql() -> dict[str, str]:
         "feature_batch": f"{entries} and id_client between {FIRST_ID} and {LAST_ID}",
         "assign_clusters": f"with {ASSIGNED} select id_client, cluster from assigned",
         "minibatch_step": f"""with {ASSIGNED},
-  totals as (select a.cluster, l.dim, count(*) as n, sum(l.value) as total
-    from assigned a join long_rows l using (id_client) group by a.cluster, l.dim)
-  select cast(c.cluster as int) as cluster, cast(c.dim as int) as dim,
-    round((c.centre * c.weight + coalesce(t.total, 0)) / (c.weight + coalesce(t.n, 0)), 6) as center,
-    cast(c.weight + coalesce(t.n, 0) as double) as weight
-  from centres c left join totals t using (cluster, dim)""",
+  sizes as (select cluster, count(*) as n from assigned group by cluster),
+  totals as (select a.cluster, e.position, sum(e.value) as total
+    from assigned a join entries e using (id_client) group by all)
+  select cast(w.cluster as int) as cluster, p.position as dim,
+    round((coalesce(c.value, 0) * w.weight + coalesce(t.total, 0)) / (w.weight + coalesce(n, 0)), 6) as center,
+    cast(w.weight + coalesce(n, 0) as double) as weight
+  from weights w cross join positions p left join centres c on c.cluster = w.cluster and c.position = p.position
+    left join totals t on t.cluster = w.cluster and t.position = p.position left join sizes s on s.cluster = w.cluster""",
         "total_inertia": f"""with {SCALED},
   numeric as (select {' + '.join(f'count(*) * var_pop({c}_z)' for c in NUMERIC_FEATURES)} as s from scaled),
   slots as (select most_common_category as v, count(*) as c from scaled group by 1
     union all select most_common_brand, count(*) from scaled group by 1),
   encoded as (select sum(c - c * c / (select count(*) from scaled)) as s from slots)
   select round(numeric.s + encoded.s, 6) as inertia from numeric, encoded""",
-        "feature_covariance": f"""with {SCALED}, l as ({long_z})
-  select a.name as i, b.name as j, round(covar_pop(a.value, b.value), 6) + 0.0 as covariance
-  from l a join l b on a.id_client = b.id_client and a.k <= b.k group by a.name, b.name""",
+        "feature_covariance": f"""with {ENTRIES},
+  sums as (select position, sum(value) as s from entries group by position),
+  products as (select a.position as i, b.position as j, sum(a.value * b.value) as p
+    from entries a join entries b on a.id_client = b.id_client and a.position <= b.position group by all),
+  counted as (select count(*) as n from scaled)
+  select a.position as i, b.position as j, round(coalesce(p, 0) / n - a.s / n * (b.s / n), 6) + 0.0 as covariance
+  from sums a join sums b on a.position <= b.position cross join counted
+    left join products on i = a.position and j = b.position""",
+        "random_sample": f"""with {CLICKS}
+  select event_id, user_id from cs order by md5(concat('42', chr(31), event_id)), event_id limit 1000""",
         "density_core_points": f"""with {NEIGHBOURS}
-  select id_client, round(x, 6) as x, round(y, 6) as y, neighbours >= {MIN_POINTS} as is_core from near""",
+  select id_client, round(x, 6) as x, round(y, 6) as y, neighbours, neighbours >= {MIN_POINTS} as is_core from near""",
+        "k_distances": f"""with {NEIGHBOURS}
+  select a.id_client, round(a.x, 6) as x, round(a.y, 6) as y, round(sqrt(list_sort(
+      list((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)))[{MIN_POINTS}]), 6) as k_distance
+  from points a cross join points b group by all""",
         "density_hot_cells": f"""with {NEIGHBOURS}
   select id_client, neighbours >= {HOT_MIN_POINTS} as is_core from near""",
         "density_clusters": f"with recursive {DENSITY} select id_client, round(x, 6) as x, round(y, 6) as y, label from labels",

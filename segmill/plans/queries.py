@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -288,7 +287,7 @@ def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.random_sample(clickstream(spark, sf_dir), 1000, seed=42).select("event_id", "user_id")
+    return profile.random_sample(clickstream(spark, sf_dir), 1000, seed=42, keys=["event_id"]).select("event_id", "user_id")
 
 
 def previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,13 +331,15 @@ def batch_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nonzero_entries(features.feature_batch(table, model, s.FIRST_ID, s.LAST_ID))
 
 
-def _step_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = [f"{c}_z" for c in s.CENTRE_COLUMNS]
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(scaled(spark, sf_dir))
+def _first_rows(rows: DataFrame) -> list[list[float]]:
+    """The vectors of the first customers, as centres over all columns."""
+    first = rows.where(F.col("id_client") < s.N_CENTRES).orderBy("id_client").select("features").collect()
+    return [row["features"].toArray().tolist() for row in first]
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.assign_clusters(_step_matrix(spark, sf_dir), s.CENTRES)
+    rows = matrix(spark, sf_dir)
+    return clustering.assign_clusters(rows, _first_rows(rows))
 
 
 def _centres_long(frame: DataFrame) -> DataFrame:
@@ -348,7 +349,8 @@ def _centres_long(frame: DataFrame) -> DataFrame:
 
 
 def one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    centres, weights = clustering.minibatch_step(_step_matrix(spark, sf_dir), s.CENTRES, s.CENTRE_WEIGHTS)
+    rows = matrix(spark, sf_dir)
+    centres, weights = clustering.minibatch_step(rows, _first_rows(rows), s.CENTRE_WEIGHTS)
     return _centres_long(clustering.centres_frame(spark, centres, weights))
 
 
@@ -388,7 +390,7 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = projection.feature_covariance(scaled(spark, sf_dir), [f"{c}_z" for c in NUMERIC_FEATURES])
+    found = projection.feature_covariance(matrix(spark, sf_dir))
     return found.withColumn("covariance", F.round("covariance", 6) + F.lit(0.0))
 
 
@@ -409,8 +411,12 @@ def _point_output(df: DataFrame) -> DataFrame:
 
 
 def core_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = density.density_core_points(_points(spark, sf_dir), s.EPS, s.MIN_POINTS)
-    return _point_output(found.drop("cx", "cy"))
+    return _point_output(density.density_neighbours(_points(spark, sf_dir), s.EPS, s.MIN_POINTS))
+
+
+def k_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _point_output(density.k_distances(_points(spark, sf_dir), s.MIN_POINTS))
+    return found.withColumn("k_distance", F.round("k_distance", 6))
 
 
 def hot_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,7 +441,7 @@ def density_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density labels in the plane of the principal components, with a radius found from the data."""
     scores = projection.pca_2d(matrix(spark, sf_dir))
     points = materialize(scores.withColumnsRenamed({"pc1": "x", "pc2": "y"}), "points")
-    eps = density.suggest_eps(points, s.MIN_POINTS, share=0.5)
+    eps = density.eps_by_k_distance(points, s.MIN_POINTS, share=0.5)
     labelled = density.density_clusters(points, eps, s.MIN_POINTS, s.MIN_CLUSTER_SIZE)
     return labelled.withColumnsRenamed({"x": "pc1", "y": "pc2"})
 
@@ -522,6 +528,7 @@ def queries() -> dict[str, Query]:
         "feature_covariance": covariance,
         "cluster_scatter": scatter,
         "density_core_points": core_points,
+        "k_distances": k_distances,
         "density_hot_cells": hot_cells,
         "density_clusters": density_labels,
         "density_noise_share": noise_share,

@@ -11,9 +11,8 @@ FIRST_ID, LAST_ID = 10, 99
 # Half-open time range of the event table read.
 RANGE_START, RANGE_END = "2024-01-05 12:00:00", "2024-01-27 06:00:00"
 
-# Starting centres and weights of the single incremental step.
-CENTRE_COLUMNS = ["n_clicks", "total_spent", "avg_session_len_sec", "product_revisit_rate"]
-CENTRES = [[0.0, 0.0, 0.0, 0.0], [1.0, 0.5, -0.5, 1.0], [-1.0, -0.5, 0.5, -1.0], [0.0, 2.0, 1.5, 0.0]]
+# Customers whose vectors are the centres of the single incremental step, and the centres' weights.
+N_CENTRES = 4
 CENTRE_WEIGHTS = [5.0, 3.0, 0.5, 1.0]
 
 DENSITY_COLUMNS = ["total_spent", "avg_session_len_sec"]

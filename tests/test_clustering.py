@@ -92,12 +92,49 @@ def test_pca(matrix, points):
     assert np.allclose(scores.mean(0), 0)
 
 
-def test_covariance(spark, points):
-    df = spark.createDataFrame(pd.DataFrame(points, columns=list("abc")))
-    found = {(r["i"], r["j"]): r["covariance"] for r in projection.feature_covariance(df, list("abc")).collect()}
+def test_covariance(matrix, points):
+    found = {(r["i"], r["j"]): r["covariance"] for r in projection.feature_covariance(matrix).collect()}
     expected = np.cov(points.T, bias=True)
-    assert len(found) == 6
-    assert found["a", "c"] == pytest.approx(expected[0, 2])
+    assert len(found) == len(expected) * (len(expected) + 1) // 2
+    assert all(found[i, j] == pytest.approx(expected[i, j]) for i, j in found)
+
+
+def test_projection_of_an_empty_matrix(matrix):
+    assert projection.feature_covariance(matrix.limit(0)).count() == 0
+    assert projection.pca_2d(matrix.limit(0)).count() == 0
+
+
+def test_models_fitted_together_equal_separate_fits(matrix):
+    starts = clustering.starting_centres(matrix, range(1, 7), seed=1)
+    together, scans = clustering.joint_kmeans(matrix, starts)
+    needed = []
+    for k in starts:
+        alone, n = clustering.joint_kmeans(matrix, {k: starts[k]})
+        needed.append(n)
+        assert np.allclose(alone[k][0], together[k][0]) and alone[k][1] == pytest.approx(together[k][1])
+    assert scans == max(needed) < sum(needed)
+
+
+def test_joint_fit_is_a_fixed_point(matrix, points):
+    found, _ = clustering.joint_kmeans(matrix, clustering.starting_centres(matrix, [4]))
+    centres, inertia = found[4]
+    squared = ((points[:, None] - centres[None]) ** 2).sum(-1)
+    assert inertia == pytest.approx(squared.min(1).sum())
+    for i, centre in enumerate(centres):
+        assert np.allclose(points[squared.argmin(1) == i].mean(0), centre, atol=1e-5)
+
+
+def test_starved_centres_move_into_the_data(matrix, points):
+    far = [points[0].tolist(), points[1].tolist(), points[2].tolist(), [1e6] * points.shape[1]]
+    centres, weights = clustering.minibatch_step(matrix, far, [0.0] * 4)
+    moved, new_weights = clustering.reassign_starved(matrix, centres, weights, seed=7)
+    assert weights[3] == 0 and new_weights[3] == min(w for w in weights if w)
+    assert any(np.allclose(moved[3], p) for p in points)
+    assert moved == clustering.reassign_starved(matrix, centres, weights, seed=7)[0]
+    _, used = clustering.minibatch_step(matrix, moved, [0.0] * 4)
+    assert all(used)
+    # none starved: nothing moves
+    assert clustering.reassign_starved(matrix, centres, [5.0] * 4, seed=7) == (centres, [5.0] * 4)
 
 
 def test_centres_survive_storage(spark, tmp_path):

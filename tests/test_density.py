@@ -130,3 +130,34 @@ def test_suggested_radius_follows_the_share(spark):
     points = frame(spark, sample_points(1))
     small, large = density.suggest_eps(points, 10, 0.2), density.suggest_eps(points, 10, 0.95)
     assert 0 < small < large
+
+
+@pytest.mark.parametrize("eps, compared", [(0.25, 4096), (0.1, 16), (1.0, 16), (3.0, 64)])
+def test_neighbour_counts_are_exact(spark, monkeypatch, eps, compared):
+    monkeypatch.setattr(density, "COMPARED", compared)
+    points = sample_points(1)
+    counts, _ = brute_force(points, eps, 10, 10)
+    found = density.density_neighbours(frame(spark, points), eps, 10).toPandas().sort_values("id_client")
+    assert found["neighbours"].tolist() == counts.tolist()
+    assert (found["is_core"].to_numpy() == (counts >= 10)).all()
+
+
+@pytest.mark.parametrize("k, slice_points", [(1, 10_000), (10, 20), (301, 10_000), (2000, 10_000)])
+def test_k_distances_are_exact(spark, k, slice_points):
+    points = sample_points(2)
+    squared = ((points[:, None] - points[None]) ** 2).sum(-1)
+    found = density.k_distances(frame(spark, points), k, slice_points).toPandas().sort_values("id_client")
+    if k > len(points):
+        assert found["k_distance"].isna().all()
+    else:
+        want = np.sqrt(np.sort(squared, axis=1)[:, k - 1])
+        assert np.allclose(found["k_distance"].to_numpy(), want, rtol=1e-12, atol=0)
+
+
+def test_radius_by_k_distance(spark):
+    points = sample_points(3)
+    eps = density.eps_by_k_distance(frame(spark, points), 10, 0.8)
+    counts, _ = brute_force(points, eps, 10, 10)
+    assert abs((counts >= 10).mean() - 0.8) < 0.01
+    with pytest.raises(ValueError, match="no radius"):
+        density.eps_by_k_distance(frame(spark, points[:5]), 10)

@@ -79,3 +79,15 @@ def test_profile(spark):
     assert found == {"avg_item_value": 20, "cart_to_click_ratio": 10}
     assert [r[0] for r in profile.distinct_categories(table, "most_common_category").collect()] == ["Other", "a", "b"]
     assert profile.preview(table).count() == 5
+
+
+def test_sample_does_not_depend_on_partitions(spark):
+    table = spark.range(20_000).withColumn("text", F.concat(F.lit("t"), F.col("id") % 50))
+    samples = [
+        sorted(profile.random_sample(table.repartition(n), 700, seed=5).collect()) for n in (1, 7, 200)
+    ]
+    assert samples[0] == samples[1] == samples[2] and len(samples[0]) == 700
+    assert samples[0] != sorted(profile.random_sample(table, 700, seed=6).collect())
+    # copies of a row and few distinct keys
+    copies = spark.range(5000).select((F.col("id") % 3).alias("k"), F.lit(1).alias("v"))
+    assert profile.random_sample(copies, 40, keys=["k"]).count() == 40
