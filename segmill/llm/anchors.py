@@ -6,9 +6,9 @@ key sees every repeat of its windows, and no index has to be searched for texts
 cannot be in it. Neighbouring windows mostly share a key; a run of them is a region.
 
 1. Every text lists its regions: key, hash of the content, place.
-2. Regions of equal content are folded by an aggregate: each counts as repeated from
-   its second place on, and only the earliest is kept for the index. Keys with one
-   content are dropped, unless its region may repeat itself.
+2. Keys that come once are dropped, unless the region may repeat itself. Regions of equal
+   content are folded by an aggregate: each counts as repeated from its second place on,
+   and only the earliest is kept for the index, if its key has other contents too.
 3. Where a key has several contents, or one that may repeat itself, these are cut out
    of their texts and indexed together (suffix array, FM-index), which finds the
    windows they share.
@@ -271,6 +271,15 @@ def list_regions(texts: DataFrame, search: Search) -> DataFrame:
 PLACE = ["did", "sum", "more", "start"]
 
 
+def shared_regions(listed: DataFrame) -> DataFrame:
+    """Regions that may hold a repeated window: their key comes again, or their gram does in them.
+
+    Most regions are alone with their key, so only keys are counted over all of them.
+    """
+    counted = listed.groupBy("key").agg(F.count("*").alias("regions"), F.max(F.col("inner") | F.col("twin")).alias("own"))
+    return listed.join(counted.where("regions > 1 or own").select("key"), "key", "left_semi")
+
+
 def fold_regions(regions: DataFrame) -> DataFrame:
     """Step 2: one row per key and content, with its least place and whether it comes again.
 
@@ -414,7 +423,8 @@ def repeated_windows(texts: DataFrame, search: Search) -> DataFrame:
     ``texts`` comes from ``keyed``. Joins with it use its columns as they are, so
     that one shuffle of the texts serves them all.
     """
-    regions = materialize(list_regions(texts, search), "regions")
+    listed = materialize(list_regions(texts, search), "listed")
+    regions = materialize(shared_regions(listed), "regions")
     contents = materialize(fold_regions(regions), "contents")
     groups = contents.groupBy("key").agg(F.count("*").alias("contents"), F.max("inner").alias("any_inner"))
     # one region stands for its content in the index
