@@ -274,10 +274,12 @@ PLACE = ["did", "sum", "more", "start"]
 def shared_regions(listed: DataFrame) -> DataFrame:
     """Regions that may hold a repeated window: their key comes again, or their gram does in them.
 
-    Most regions are alone with their key, so only keys are counted over all of them.
+    Most regions are alone with their key, so only keys are counted over all of them. Those
+    kept are written, so that a hot one's regions can be split in the join.
     """
     counted = listed.groupBy("key").agg(F.count("*").alias("regions"), F.max(F.col("inner") | F.col("twin")).alias("own"))
-    return listed.join(counted.where("regions > 1 or own").select("key"), "key", "left_semi")
+    shared = materialize(counted.where("regions > 1 or own").select("key"), "keys")
+    return listed.join(shared, "key", "left_semi")
 
 
 def fold_regions(regions: DataFrame) -> DataFrame:
