@@ -25,6 +25,7 @@ import random
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -63,6 +64,8 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A paragraph outside of these is not closed from within.
+P_SCOPES = frozenset("table td th button object".split())
 #: All that a head may hold; anything else ends it.
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: An opening tag of these ends an element without text that is left open.
@@ -78,9 +81,11 @@ KINDS = {
     "h1": 6, "h2": 6, "h3": 6, "h4": 6, "h5": 6, "h6": 6,
 }
 N_KINDS = 8
+#: Kinds that mostly hold other elements; text of their own says something about them.
+HOLDERS = (0, 1, 3)
 FEATURES = 4096
 ROUNDS = 150
-TRAINING_PAGES = 600
+TRAINING_PAGES = 1000
 SEED = 42
 
 
@@ -91,6 +96,11 @@ class Node:
     depth: int
     names: str = ""
     content: bool = False
+    #: the element whose text this one's text goes on: itself unless it is inline
+    block: int = 0
+    #: paragraphs open around it, up to the next scope
+    paragraphs: int = 0
+    n_own: int = 0
     n_chars: int = 0
     n_linked: int = 0
     n_links: int = 0
@@ -189,6 +199,7 @@ class _Builder:
     def __init__(self):
         self.page = Page([Node("#page", -1, 0)])
         self.stack = [0]
+        self.open: Counter[str] = Counter()
         self.in_head = False
 
     def build(self, events: list[tuple[str, str, list]]) -> Page:
@@ -218,9 +229,9 @@ class _Builder:
             if tag in IN_HEAD or tag == "html":
                 return
             self.in_head = False
-        if tag in CLOSES_P:
-            self._close({"p"}, {"table", "td", "th", "button", "object"})
-        if tag in CLOSES:
+        if tag in CLOSES_P and nodes[self.stack[-1]].paragraphs:
+            self._close({"p"}, P_SCOPES)
+        if tag in CLOSES and any(self.open[t] for t in CLOSES[tag][0]):
             self._close(*CLOSES[tag])
         if tag in NO_TEXT:
             return
@@ -237,8 +248,12 @@ class _Builder:
         if any(k == "hidden" for k, _ in attrs):
             names += " hidden"
         content = any(k == "data-content" for k, _ in attrs)
-        nodes.append(Node(tag, parent, nodes[parent].depth + 1, names, content))
-        self.stack.append(len(nodes) - 1)
+        number, above = len(nodes), nodes[parent]
+        block = above.block if tag in INLINE and parent else number
+        paragraphs = 0 if tag in P_SCOPES else above.paragraphs + (tag == "p")
+        nodes.append(Node(tag, parent, above.depth + 1, names, content, block, paragraphs))
+        self.stack.append(number)
+        self.open[tag] += 1
 
     def handle_endtag(self, tag):
         if tag in ("head", "body", "html"):
@@ -246,11 +261,13 @@ class _Builder:
             return
         if self.in_head:
             return
+        if not self.open[tag]:
+            return
         nodes = self.page.nodes
         for at in range(len(self.stack) - 1, 0, -1):
             here = nodes[self.stack[at]].tag
             if here == tag:
-                del self.stack[at:]
+                self._pop(at)
                 return
             if tag in INLINE and here not in INLINE:
                 return
@@ -262,22 +279,24 @@ class _Builder:
             self.in_head = False
         self._text(data)
 
+    def _pop(self, at):
+        self.open.subtract(self.page.nodes[i].tag for i in self.stack[at:])
+        del self.stack[at:]
+
     def _close(self, tags, within):
         nodes = self.page.nodes
         for at in range(len(self.stack) - 1, 0, -1):
             here = nodes[self.stack[at]].tag
             if here in tags:
-                del self.stack[at:]
+                self._pop(at)
                 if tags == {"p"} or here in ("li", "dt", "dd", "option"):
                     return
             elif here in within:
                 return
 
     def _text(self, data):
-        nodes, block = self.page.nodes, self.stack[-1]
-        while nodes[block].tag in INLINE and nodes[block].parent >= 0:
-            block = nodes[block].parent
-        self.page.texts.append((self.stack[-1], block, data))
+        element = self.stack[-1]
+        self.page.texts.append((element, self.page.nodes[element].block, data))
 
 
 def parse(html: str | None) -> Page:
@@ -291,6 +310,7 @@ def parse(html: str | None) -> Page:
     for element, _, text in page.texts:
         n = len(text.strip())
         page.nodes[element].n_chars += n
+        page.nodes[page.nodes[element].block].n_own += n
         page.nodes[element].n_linked += n if linked[element] else 0
     for i, node in enumerate(page.nodes):
         node.n_links += node.tag == "a"
@@ -328,6 +348,7 @@ def features(page: Page) -> tuple[list[int], list[int]]:
             _slot("under", parent, node.tag in INLINE, KINDS.get(node.tag, 0)),
             _slot("length", min(12, node.n_chars.bit_length()), node.tag in HEADINGS),
             _slot("linked", int(4 * share), min(3, node.n_links)),
+            _slot("own", min(9, node.n_own.bit_length()) if KINDS.get(node.tag, 0) in HOLDERS else -1),
             *_names(node.names),
         ]
         elements += [i] * len(found)
@@ -370,11 +391,10 @@ class Forest:
         for level in reversed(self.levels[1:]):
             joint = pair[self.kind[level]] + below[level][:, None, :]
             up[level] = np.logaddexp(joint[:, :, 0], joint[:, :, 1])
-            for state in (0, 1):
-                below[:, state] += np.bincount(
-                    self.parent[level], up[level, state], self.size
-                ) if len(level) * 8 > self.size else 0
-            if len(level) * 8 <= self.size:
+            if len(level) * 8 > self.size:
+                for state in (0, 1):
+                    below[:, state] += np.bincount(self.parent[level], up[level, state], self.size)
+            else:
                 np.add.at(below, self.parent[level], up[level])
         belief = below.copy()
         both = np.zeros((self.size, 2, 2))
@@ -398,7 +418,11 @@ class Model:
 
 
 def train(pages: list[Page]) -> Model:
-    """Maximum likelihood: what is observed less what the marginals expect, by Adam."""
+    """Maximum likelihood: what is observed less what the marginals expect, by Adam.
+
+    Pair potentials are those of a child given its parent, so a child that tells nothing
+    by itself says nothing about its parent, however many there are of its kind.
+    """
     forest = Forest(pages)
     state = np.array([n.content for p in pages for n in p.nodes], np.int64)
     child = np.flatnonzero(forest.parent >= 0)
@@ -407,17 +431,20 @@ def train(pages: list[Page]) -> Model:
         observed_pair, (forest.kind[child], state[forest.parent[child]], state[child]), 1.0
     )
     model = Model(np.zeros(FEATURES), np.zeros((N_KINDS, 2, 2)))
-    parameters = [model.weight, model.pair]
+    free = np.zeros((N_KINDS, 2, 2))
+    parameters = [model.weight, free]
     first = [np.zeros_like(p) for p in parameters]
     second = [np.zeros_like(p) for p in parameters]
     for step in range(1, ROUNDS + 1):
+        model.pair = free - np.logaddexp(free[:, :, 0], free[:, :, 1])[:, :, None]
         p, both = forest.marginals(model.weight, model.pair)
         expected_pair = np.zeros_like(observed_pair)
         np.add.at(expected_pair, forest.kind[child], both[child])
         gap = (state - p)[forest.element]
+        given = observed_pair - expected_pair
         gradients = [
             np.bincount(forest.slot, gap, FEATURES) - 0.5 * model.weight,
-            observed_pair - expected_pair - 0.5 * model.pair,
+            given - np.exp(model.pair) * given.sum(axis=2, keepdims=True) - 0.5 * free,
         ]
         for value, g, m, v in zip(parameters, gradients, first, second):
             m += 0.1 * (g - m)
@@ -522,10 +549,30 @@ class _Writer:
         many = "".join(one() for _ in range(rng.randint(1, 5)))
         return self.tag(rng.choice(["div", "section", "ul", "ol", "aside"]), rng.choice(["", f"<h3>{self.words(1, 3)}</h3>"]) + many, False, self.some("comments comments discussion responses disqus replies commentlist reviews reactions"))
 
+    def bare(self) -> str:
+        """Text without elements of its own, as old pages and plain templates have it."""
+        rng = self.rng
+        parts = [self.words(8, 150) for _ in range(rng.randint(1, 8))]
+        if rng.random() < 0.3:
+            parts[0] = self.tag("b", self.words(1, 8), True)
+        return rng.choice(["<br><br>", "<br>", " ", "\n"]).join(parts)
+
+    def framed(self, inside: str) -> str:
+        """An article with a header and a footer of its own."""
+        rng = self.rng
+        title = f"<{(h := rng.choice(['h1', 'h2']))}>{self.words(1, 9)}</{h}>"
+        byline = rng.choice(["", f"<p>{self.words(1, 6)}</p>", f"<span>{self.words(1, 5)}</span>", self.links()])
+        foot = rng.choice([f"<p>{self.words(1, 15)}</p>", self.links(), self.words(1, 10)])
+        head = self.tag("header", title + byline, False, rng.choice(["", "", "entry-header"]))
+        return head + inside + (self.tag("footer", foot, False) if rng.random() < 0.7 else "")
+
     def article(self) -> str:
         rng = self.rng
+        if rng.random() < 0.12:
+            names = rng.choice(["", "", self.some("content text main body story")])
+            return self.tag(rng.choice(["div", "div", "section", "article", "main", "td"]), self.bare(), True, names)
         parts = [self.tag(rng.choice(["h1", "h1", "h2"]), self.words(1, 12), True)] if rng.random() < 0.8 else []
-        for _ in range(rng.randint(1, 9)):
+        for _ in range(rng.randint(1, 9) if rng.random() < 0.94 else rng.randint(20, 200)):
             roll = rng.random()
             if roll < 0.6:
                 parts.append(self.tag("p", self.prose(True), True))
@@ -549,6 +596,9 @@ class _Writer:
                 parts.append(self.junk())
         inside = "".join(parts)
         roll = rng.random()
+        if rng.random() < 0.2:
+            paragraphs = self.paragraphs(True, 2, rng.choice([8, 8, 60]))
+            return self.tag(rng.choice(["article", "article", "main"]), self.framed(paragraphs), True)
         if roll < 0.45:
             return self.tag("article", inside, True, rng.choice(["", "", self.some("post entry story article hentry")]))
         if roll < 0.6:
@@ -578,6 +628,20 @@ class _Writer:
             after.append(self.tag("footer", rng.choice([self.words(2, 25), self.paragraphs(False, 1, 2), self.links()]), False))
         elif rng.random() < 0.5:
             after.append(self.tag("div", rng.choice([self.words(2, 25), self.paragraphs(False, 1, 2)]), False, self.some("footer copyright bottom legal colophon")))
+        roll = rng.random()
+        if roll < 0.06:
+            # the body itself holds the text, between the rest of the page
+            marked = "".join(before) + self.bare() + "".join(after)
+            return f"<html><head><title>x</title></head><body data-content>{marked}</body></html>"
+        if roll < 0.14:
+            # a layout table: a cell of links beside the cell of the article
+            cells = [
+                self.tag("td", self.links() + rng.choice(["", f"<p>{self.words(1, 6)}</p>"]), False),
+                self.tag("td", rng.choice([self.bare(), self.paragraphs(True, 1, 6)]), True),
+            ]
+            rng.shuffle(cells)
+            table = self.tag("table", self.tag("tr", "".join(cells), False), False)
+            return f"<html><head><title>x</title></head><body>{''.join(before)}{table}{''.join(after)}</body></html>"
         inside = "".join(before) + self.article() + "".join(after)
         if rng.random() < 0.3:
             inside = self.tag("div", inside, False, rng.choice(["", "wrapper", "container", "page", "site", "layout"]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -346,3 +347,46 @@ def test_planted_links_are_found(spark):
     assert linked >= 198
     assert all(got[i].n_links == 0 for i in range(1000, 1400))
     assert got[5000].component_id == 0 and got[5001].component_id == 2
+
+
+WORDS = " ".join(f"word{i % 97}" for i in range(300))
+PARAGRAPHS = "".join(f"<p>{WORDS[:300]}.</p>" for _ in range(6))
+
+
+@pytest.mark.parametrize(
+    "page, holds, lacks",
+    [
+        (f"<body>{WORDS}</body>", WORDS, "nothing"),
+        (f"<body><div>{WORDS}</div></body>", WORDS, "nothing"),
+        (WORDS, WORDS, "nothing"),
+        (f"<div id=content>{WORDS[:900]}<br><br>{WORDS}</div>", WORDS, "nothing"),
+        (f"<body><nav><a href=/>Home</a></nav>{WORDS}<footer>Copyright 2020</footer></body>", WORDS, "Copyright"),
+        (
+            "<body><article><header><h1>Title</h1><p>By A</p></header>"
+            f"{PARAGRAPHS}<footer><p>Posted in x</p></footer></article></body>",
+            WORDS[:300],
+            "Posted",
+        ),
+        (
+            "<body><table><tr><td><a href=1>Home</a><br><a href=2>News</a><br><a href=3>About</a></td>"
+            f"<td>{PARAGRAPHS}</td></tr></table></body>",
+            WORDS[:300],
+            "News",
+        ),
+    ],
+)
+def test_text_outside_of_paragraphs(page, holds, lacks):
+    text = html_extract.extract([html_extract.parse(page)], html_extract.trained())[0]
+    assert holds in text and lacks not in text
+
+
+def test_depth_costs_in_proportion():
+    def seconds(n):
+        page = "<p>" + "<div>" * n + "<b>" * n + WORDS + "</x>" * n + "</div>" * n
+        began = time.process_time()
+        text = html_extract.extract([html_extract.parse(page)], html_extract.trained())[0]
+        assert isinstance(text, str)
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 12 * seconds(4_000)
