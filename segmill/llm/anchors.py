@@ -431,7 +431,8 @@ def repeated_windows(texts: DataFrame, search: Search) -> DataFrame:
     groups = contents.groupBy("key").agg(F.count("*").alias("contents"), F.max("inner").alias("any_inner"))
     # one region stands for its content in the index
     full = F.lit(False) if search.first_stays else F.col("again")
-    counted = contents.join(groups.where("contents > 1 or any_inner"), "key").select(
+    groups = materialize(groups.where("contents > 1 or any_inner"), "groups")
+    counted = contents.join(groups, "key").select(
         "key", "first.*", "n", full.alias("full"), "contents"
     )
     few = counted.where(F.col("contents") <= MAX_REGIONS)
