@@ -4,6 +4,7 @@
     spark-submit -m segmill.jobs customers --events DIR --customers DIR --as-of 2020-05-01
     spark-submit -m segmill.jobs elbow     --customers DIR --out DIR
     spark-submit -m segmill.jobs segments  --customers DIR --model DIR --centres DIR --out DIR
+    spark-submit -m segmill.jobs label     --customers DIR --model DIR --centres DIR --out DIR --first 0 --last 2000
     spark-submit -m segmill.jobs density   --customers DIR --out DIR
 
 Every DIR is a path on shared storage. Outputs are Parquet tables.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +89,14 @@ def segments(
     projection.cluster_scatter(labelled).write.mode("overwrite").parquet(out)
 
 
+def label(spark: SparkSession, customers: str, model: str, centres: str, out: str, first: int, last: int) -> None:
+    """Clusters of the customers of an id range, both ends included, by a stored model and its centres."""
+    rows = tables.customers_by_id_range(tables.read_customers(spark, customers), first, last)
+    matrix = features.feature_matrix(rows, PipelineModel.load(model))
+    found, _ = clustering.centres_from_frame(tables.load_centres(spark, centres))
+    clustering.assign_clusters(matrix, found).write.mode("overwrite").parquet(out)
+
+
 def density_labels(spark: SparkSession, customers: str, out: str, min_size: int = 10, share: float = 0.5) -> None:
     """Density clusters, -1 for noise, in the plane of the principal components."""
     scores = projection.pca_2d(_matrix(spark, customers)).withColumnsRenamed({"pc1": "x", "pc2": "y"})
@@ -105,6 +115,7 @@ def main() -> None:
         "customers": ["events", "customers", "as-of"],
         "elbow": ["customers", "out"],
         "segments": ["customers", "model", "centres", "out"],
+        "label": ["customers", "model", "centres", "out"],
         "density": ["customers", "out"],
     }.items():
         command = steps.add_parser(step)
@@ -115,13 +126,23 @@ def main() -> None:
         if step == "segments":
             command.add_argument("--k", type=int, default=4)
             command.add_argument("--batch-ids", type=int)
+        if step == "label":
+            command.add_argument("--first", type=int, required=True)
+            command.add_argument("--last", type=int, required=True)
     given = vars(parser.parse_args())
     step, input_bytes = given.pop("step"), given.pop("input_bytes")
     spark = build_session(f"segmill-{step}")
     source = given[{"ingest": "csv", "customers": "events"}.get(step, "customers")]
     size = input_bytes or bytes_under(spark, source)
     spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions(size)))
-    run = {"ingest": ingest, "customers": customers, "elbow": elbow, "segments": segments, "density": density_labels}
+    run = {
+        "ingest": ingest,
+        "customers": customers,
+        "elbow": elbow,
+        "segments": segments,
+        "label": label,
+        "density": density_labels,
+    }
     run[step](spark, **given)
 
 

@@ -51,6 +51,12 @@ def test_from_csv_to_segments(spark, tmp_path):
     assert scatter.columns == ["id_client", "label", "pc1", "pc2"] and scatter.count() == 40
     assert tables.load_centres(spark, centres).count() == 3
 
+    # the stored model and centres label an id range as the run did
+    jobs.label(spark, client, str(tmp_path / "model"), centres, str(tmp_path / "labels"), 5, 14)
+    labels = {r["id_client"]: r["cluster"] for r in spark.read.parquet(str(tmp_path / "labels")).collect()}
+    assert sorted(labels) == list(range(5, 15))
+    assert labels.items() <= {r["id_client"]: r["label"] for r in scatter.collect()}.items()
+
     jobs.density_labels(spark, client, str(tmp_path / "density"), min_size=3)
     assert spark.read.parquet(str(tmp_path / "density")).count() == 40
 
