@@ -1,22 +1,23 @@
 """Toxicity from bags of subwords.
 
 A word is the bag of its character n-grams, hashed to rows of an embedding table and
-averaged. A linear softmax over the average of a window of words (one word as it is
-set; longer ones blurred insults with their neighbours on held-out texts) gives its
-odds. Embeddings and softmax are trained together, so words never seen share the
-vectors of their n-grams with those that were. A text's odds are those of its windows
-taken together, their log-sum-exp: one insult in a long text weighs as much as in a
-short one.
-
-The model is fitted in numpy on at most about ``MAX_TEXTS`` labelled texts of up to
-``MAX_BYTES`` each, picked by a hash of their id; scoring covers every text whole.
-With two classes a word enters the softmax by one number, its weight, so what the
-workers get is one number per table row.
+averaged; a linear softmax over that average gives its odds. Embeddings and softmax are
+trained together, so words never seen share the vectors of their n-grams with those that
+were. The odds of a stretch of ``STRETCH`` words are those of its words taken together,
+their log-sum-exp, and a text's are those of its worst stretch: more clean text does not
+add up to a toxic one, and an insult weighs as much in a long text as in a short one.
+
+The model is fitted in numpy on a bounded sample of the labelled texts, of any length:
+the first ``MAX_TEXTS`` by a hash of their id, up to the one that fills ``MAX_BYTES``
+together. Scoring covers every text whole. With two classes a word enters the softmax by
+one number, its weight, so what the workers get is one number per table row.
 
 A null or empty text has no words and scores what the softmax gives without any.
 Texts without a label are scored like others. Rows that repeat an id are scored one
-by one; conflicting labels of an id all count. An empty table gives an empty result;
-without any labelled text the score is 0.5 everywhere.
+by one; those that repeat id and text are learned from once, and conflicting labels of
+an id all count. Labels without an id are not used. An empty table gives an empty
+result; without labelled texts of both classes the score is 0.5 everywhere. Other
+columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_TEXTS = 4000
-MAX_BYTES = 65_536
+MAX_BYTES = 24 << 20
 BUCKETS = 1 << 17
 DIM = 8
 SHORTEST, LONGEST = 3, 6
-WINDOW = 1
+STRETCH = 256
 ROUNDS = 100
 RATE = 1.0
 DECAY = 1e-4
@@ -66,11 +67,11 @@ def split(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def pooled(window_odds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-sum-exp of the windows of each text, and each window's share in it."""
-    top = np.maximum.reduceat(window_odds, first)
-    n = np.diff(np.r_[first, len(window_odds)])
-    weight = np.exp(window_odds - np.repeat(top, n))
+def pooled(odds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-sum-exp of the words of each stretch, and each word's share in it."""
+    top = np.maximum.reduceat(odds, first)
+    n = np.diff(np.r_[first, len(odds)])
+    weight = np.exp(odds - np.repeat(top, n))
     total = np.add.reduceat(weight, first)
     return top + np.log(total), weight / np.repeat(total, n)
 
@@ -93,6 +94,14 @@ def _sums(values: np.ndarray, of: np.ndarray, into: np.ndarray, n: int, block: i
     return total
 
 
+def _first_of(chosen: np.ndarray, of_text: np.ndarray) -> np.ndarray:
+    """1 for the first chosen stretch of each text, 0 for the others."""
+    at = np.flatnonzero(chosen)
+    first = np.zeros(len(chosen))
+    first[at[np.unique(of_text[at], return_index=True)[1]]] = 1
+    return first
+
+
 def train(texts: list[str], labels: list[int]) -> Model:
     """Fit embeddings and softmax together by Adam over all texts at once.
 
@@ -100,25 +109,28 @@ def train(texts: list[str], labels: list[int]) -> Model:
     vector and one bias. The gradient of an embedding row is its number of uses,
     weighted, times that vector.
     """
-    found = [(words, y) for t, y in zip(texts, labels) if (words := split(t))]
-    if len({y for _, y in found}) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0)
     numbers: dict[str, int] = {}
-    tokens = np.array([numbers.setdefault(w, len(numbers)) for ws, _ in found for w in ws], np.int32)
+    found = []
+    for text, label in zip(texts, labels):
+        if words := split(text):
+            found.append((np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32), label))
+    if len({label for _, label in found}) < 2:
+        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+    tokens = np.concatenate([words for words, _ in found])
     vocabulary = list(numbers)
     parts = [subwords(vocabulary[i : i + 50_000]) for i in range(0, len(vocabulary), 50_000)]
     of_word = np.concatenate([w + 50_000 * i for i, (w, _) in enumerate(parts)]).astype(np.int32)
     row = np.concatenate([r for _, r in parts])
     del parts, vocabulary
     uses = np.maximum(np.bincount(of_word, minlength=len(numbers)), 1)
-    sizes = np.array([len(ws) for ws, _ in found])
-    n_windows = -(-sizes // WINDOW)
-    text_first = np.cumsum(n_windows) - n_windows
-    of_text = np.repeat(np.arange(len(sizes)), n_windows)
+    sizes = np.array([len(words) for words, _ in found])
+    n_stretches = -(-sizes // STRETCH)
+    text_first = np.cumsum(n_stretches) - n_stretches
+    of_text = np.repeat(np.arange(len(sizes)), n_stretches)
     nth = np.arange(len(of_text)) - text_first[of_text]
-    window_first = (np.cumsum(sizes) - sizes)[of_text] + nth * WINDOW
-    window_size = np.diff(np.r_[window_first, len(tokens)])  # the last of a text may be short
-    y = np.array([y for _, y in found], np.float64)
+    stretch_first = (np.cumsum(sizes) - sizes)[of_text] + nth * STRETCH
+    stretch_size = np.diff(np.r_[stretch_first, len(tokens)])  # the last of a text may be short
+    y = np.array([label for _, label in found], np.float64)
 
     rng = np.random.default_rng(SEED)
     embedding = rng.uniform(-1, 1, (BUCKETS, DIM)) / DIM
@@ -130,17 +142,17 @@ def train(texts: list[str], labels: list[int]) -> Model:
     for step in range(1, ROUNDS + 1):
         along = embedding @ softmax
         word = _sums(along, row, of_word, len(numbers)) / uses
-        odds = np.add.reduceat(word[tokens], window_first) / WINDOW + bias[0]
-        text_odds, share = pooled(odds, text_first)
+        odds, share = pooled(word[tokens], stretch_first)
+        text_odds = np.maximum.reduceat(odds, text_first) + bias[0]
+        worst = _first_of(odds == (text_odds - bias[0])[of_text], of_text)
         error = (sigmoid(text_odds) - y) / len(y)
-        by_window = share * np.repeat(error, n_windows)
-        by_token = np.repeat(by_window / WINDOW, window_size)
+        by_token = share * np.repeat(worst * error[of_text], stretch_size)
         by_word = np.bincount(tokens, by_token, len(numbers))
         by_row = _sums(by_word / uses, of_word, row, BUCKETS)
         gradients = [
             by_row[:, None] * softmax + DECAY * embedding / len(y),
             embedding.T @ by_row,
-            np.array([by_window.sum()]),
+            np.array([error.sum()]),
         ]
         for p, g, m, v in zip(parameters, gradients, first, second):
             m += 0.1 * (g - m)
@@ -168,6 +180,8 @@ class Scorer:
             self.words.update(zip(new, weight.tolist()))
 
     def scores(self, texts: list[str | None]) -> list[float]:
+        if not self.model.weights.any():  # nothing was learned
+            return [0.5] * len(texts)
         return [s for at in range(0, len(texts), 256) for s in self._some(texts[at : at + 256])]
 
     def _some(self, texts: list[str | None]) -> list[float]:
@@ -177,11 +191,9 @@ class Scorer:
         for words in found:
             odds = np.zeros(1)
             if words:
-                word = np.fromiter(map(self.words.__getitem__, words), np.float64, len(words))
-                first = np.arange(0, len(words), WINDOW)
-                odds = np.add.reduceat(word, first) / WINDOW
-            top = odds.max()
-            out.append(float(sigmoid(top + np.log(np.exp(odds - top).sum()) + self.model.bias)))
+                odds = np.fromiter(map(self.words.__getitem__, words), np.float64, len(words))
+            stretches, _ = pooled(odds, np.arange(0, len(odds), STRETCH))
+            out.append(float(sigmoid(stretches.max() + self.model.bias)))
         return out
 
 
@@ -190,24 +202,43 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS) -> Model:
-    """Fit on a bounded, repeatable sample of the labelled texts that are not held out."""
-    usable = (
+def fit(docs: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS, max_bytes: int = MAX_BYTES) -> Model:
+    """Fit on a bounded, repeatable sample of the labelled texts that are not held out.
+
+    At most ``max_texts`` labels, and as many keys of texts, are broadcast; texts are read
+    once the keys are chosen, so texts that are not in the sample never leave their task.
+    """
+    place = F.xxhash64(F.lit(SEED), F.col("doc_id"))
+    picked = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .where(~held_out())
         .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+        .distinct()
+        .orderBy(place, "doc_id", "toxic")
+        .limit(max_texts)
+    )
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("content"), "text")
+    sized = keyed.select("doc_id", "content", F.octet_length("text").alias("size"))
+    keys = (
+        sized.join(F.broadcast(picked), "doc_id")
+        .distinct()
+        .orderBy(place, "doc_id", "toxic", "content", "size")
+        .limit(max_texts)
     )
-    n = usable.count()
-    share = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(max(1, n)))
-    picked = usable.where(share < max_texts) if n > max_texts else usable
+    chosen, held = [], 0
+    for key in keys.collect():
+        if held >= max_bytes:
+            break
+        chosen.append(key)
+        held += key["size"] or 0
+    # rows of one id and content are copies; the aggregate keeps one of them per task
+    sample = docs.sparkSession.createDataFrame(chosen, keys.schema).drop("size")
     rows = (
-        docs.select("doc_id", "text")
-        .where(F.octet_length("text") <= MAX_BYTES)
-        .join(picked, "doc_id")
-        .select("doc_id", "text", "toxic")
-        .limit(2 * max_texts)
+        keyed.join(F.broadcast(sample), ["doc_id", "content"])
+        .groupBy("doc_id", "content", "toxic")
+        .agg(F.min("text").alias("text"))
         .toPandas()
-        .sort_values(["doc_id", "text"])
+        .sort_values(["doc_id", "content", "toxic"])
     )
     return train(list(rows["text"]), list(rows["toxic"]))
 

@@ -248,6 +248,67 @@ def test_toxicity_query(spark):
     assert len(rows) == registered._table(spark, SF, "documents").count()
 
 
+@pytest.fixture(scope="module")
+def insults():
+    """Clean and toxic texts, and a model fitted on most of them."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("etaoinshr", k=rng.randint(2, 8)))
+    clean = [" ".join(word() for _ in range(rng.randint(5, 300))) for _ in range(500)]
+    toxic = [f"{t} {rng.choice(['idiot', 'moronic', 'pathetic'])}" for t in clean[:150]]
+    return clean, toxic, toxicity.train(clean[150:] + toxic, [0] * 350 + [1] * 150)
+
+
+def test_clean_texts_do_not_add_up(insults):
+    clean, _, model = insults
+    scorer = toxicity.Scorer(model)
+    low = [t for t, s in zip(clean, scorer.scores(clean)) if s < 0.05]
+    assert len(low) > 300
+    joined = " ".join(low * 3)
+    assert len(joined.split()) > 100_000
+    assert scorer.scores([joined])[0] < 0.1
+    assert min(scorer.scores([f"{joined} idiot", f"moronic {joined}"])) > 0.3
+
+
+def test_toxicity_of_odd_tables(spark, insults):
+    clean, toxic, model = insults
+    kinds = "doc_id long, text string, score int, held_out string, toxic string"
+    empty = spark.createDataFrame([], kinds)
+    no_labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    columns = ["doc_id", "held_out", "score", "predicted"]
+    assert toxicity.score_documents(empty, toxicity.fit(empty, no_labels)).columns == columns
+    assert toxicity.score_documents(empty, model).count() == 0
+    texts = [*clean[:20], *toxic[:20], toxic[0], None, ""]
+    rows = [(i // 2 if i < 40 else None, t, 7, "x", "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, kinds)
+    assert {r.score for r in toxicity.score_documents(docs, toxicity.fit(docs, no_labels)).collect()} == {0.5}
+    got = toxicity.score_documents(docs, model).collect()
+    assert sorted(r.score for r in got) == sorted(toxicity.Scorer(model).scores(texts))
+
+
+def test_what_the_fit_learns_from(spark, monkeypatch):
+    """Texts of any length, copies once, conflicting labels all, no held-out row, and no more than the bounds."""
+    long = "word " * 50_000
+    rows = [(i, f"text {i}") for i in range(60)] + [(1, long), (1, long), (1, "text 1"), (None, "none"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    marks = [(i, i % 2) for i in range(60)] + [(1, 0), (1, 1), (None, 1), (3, None), (900, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks: seen.append(sorted(zip(map(str, texts), marks))))
+    toxicity.fit(docs, labels)
+    learned = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    wanted = {(f"text {i}", i % 2) for i in learned}
+    if 1 in learned:
+        wanted |= {("text 1", 0), (long, 0), (long, 1)}
+    if 2 in learned:
+        wanted.add(("None", 0))
+    assert seen[0] == sorted(wanted)
+    toxicity.fit(docs, labels, max_texts=10)
+    toxicity.fit(docs.repartition(2), labels, max_texts=10)
+    assert seen[1] == seen[2] and len(seen[1]) == 10
+    toxicity.fit(docs.where("text <> 'x' and length(text) < 10"), labels, max_bytes=50)
+    assert sum(len(t) for t, _ in seen[3]) in range(50, 57)
+
+
 ARTICLE = "<article><h1>Title</h1><p>one two three four five six seven eight nine ten</p></article>"
 
 
