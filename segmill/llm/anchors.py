@@ -302,10 +302,11 @@ def repeated_regions(regions: DataFrame, contents: DataFrame, first_stays: bool)
     The join is by key and content, whose rows on the left can be split at will.
     """
     again = contents.where("again").select("key", "content", "first")
-    found = regions.select("key", "content", *PLACE, "n").join(again, ["key", "content"])
+    found = regions.select("key", "content", *PLACE, "n", "twin").join(again, ["key", "content"])
     if first_stays:
-        # rows that repeat id and text are not earlier than each other
-        found = found.where(F.struct(*PLACE) != F.col("first"))
+        # rows that repeat id and text are not earlier than each other; a copy's own region
+        # is alone with its key, but its text came earlier
+        found = found.where((F.struct(*PLACE) != F.col("first")) | F.col("twin"))
     return found.select(*PLACE, "n")
 
 

@@ -97,6 +97,37 @@ def test_substring_dedup(docs):
     assert sorted(tuple(r)[1:] for r in substring.digests(docs).collect()) == sorted(wanted)
 
 
+def brute_words(rows):
+    order = sorted((d, (t or "").encode().split()) for d, t in rows)
+    seen, found = set(), []
+    for d, words in order:
+        gone = set()
+        for i in range(len(words) - 19):
+            window = tuple(words[i : i + 20])
+            if window in seen:
+                gone |= set(range(i, i + 20))
+            seen.add(window)
+        kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
+        found.append((d, len(words), len(gone), hashlib.sha256(kept).hexdigest()))
+    return found
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_substring_dedup_of_copies_read_together(spark, parts):
+    """Copies that one batch of rows holds lose all their words but the earliest."""
+    rng = random.Random(11)
+    space = [" ", "\n", "\t\r\n", "\x0b", "\x0c "]
+    texts = []
+    for _ in range(30):
+        words = rng.choices(["a", "b", "é", "\u00a0", "\u2003x", "\x1c", "c\x00"], k=rng.randint(1, 90))
+        texts.append("".join(w + rng.choice(space) for w in words))
+    texts += [None, "", " ", "x " * 300, "x " * 20, "x " * 19, "x y " * 100]
+    texts += [" ".join(rng.sample(texts[:30], 3)) for _ in range(10)]
+    rows = list(zip(rng.sample(range(-50, 400), 150), rng.choices(texts, k=150)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(parts)
+    assert sorted(map(tuple, substring.digests(docs).collect())) == brute_words(rows)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert suffix_array.digests(empty).count() == 0
