@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmill.operators.profile import random_sample
+from segmill.session import materialize
 
 Centres = Sequence[Sequence[float]]
 
@@ -22,6 +26,10 @@ MAX_ITERATIONS = 1000
 TOLERANCE = 1e-6
 # Rows that starting centres are drawn from.
 START_ROWS = 10_000
+# Rows near a border between clusters that a scan hands over, at most; all models share them.
+BORDER_ROWS = 120_000
+# Bounds of the classes that margins are counted in.
+MARGINS = 2.0 ** (np.arange(-56, 25) / 4)
 # A centre with less than this share of the largest weight is starved.
 STARVED = 0.01
 
@@ -126,42 +134,120 @@ def starting_centres(matrix: DataFrame, k_values: Sequence[int], seed: int = 42,
     return starts
 
 
-def _joint_totals(matrix: DataFrame, models: dict[int, np.ndarray]) -> dict[int, list]:
-    """Per model, its clusters' rows as (cluster, n, inertia, total): one scan and one aggregate for all."""
+def _drift(before: np.ndarray, after: np.ndarray) -> float:
+    """By how much a row's margin may have changed: the two longest ways that centres went."""
+    ways = np.sqrt(((after - before) ** 2).sum(axis=1))
+    return float(np.sort(ways)[-2:].sum())
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int], list] = {}
+
+@dataclass
+class _Scan:
+    """What one scan tells of a model.
+
+    ``n`` and ``total`` are of the settled rows by cluster; ``border`` holds the rows whose
+    margin is within the model's budget. ``margins`` counts all rows by margin.
+    """
+
+    n: np.ndarray
+    total: np.ndarray
+    border: np.ndarray
+    margins: np.ndarray
+    inertia: float = 0.0
+
+    def step(self, centres: np.ndarray) -> np.ndarray:
+        """The means of the rows nearest to each centre; a centre without rows stays."""
+        rows = self.border
+        nearest = (np.einsum("ij,ij->i", centres, centres) - 2 * rows @ centres.T).argmin(axis=1)
+        member = np.zeros((len(centres), len(rows)))
+        member[nearest, np.arange(len(rows))] = 1
+        n, total = self.n + member.sum(axis=1), self.total + member @ rows
+        moved = centres.copy()
+        moved[n > 0] = total[n > 0] / n[n > 0, None]
+        return moved
+
+    def next_budget(self, rows: int, drift: float, pace: float) -> float:
+        """A margin that at most so many rows, and a quarter of all, are within after the drift.
+
+        0 if a step or two would use it up.
+        """
+        within = np.cumsum(self.margins[:-1]) <= min(rows, self.margins.sum() // 4)
+        budget = MARGINS[within.sum() - 1] - drift if within.any() else 0.0
+        return float(budget) if budget >= max(MARGINS[0], 2 * pace) else 0.0
+
+
+def _stored_rows(matrix: DataFrame) -> DataFrame:
+    """The vectors as arrays, written once and dealt evenly over the tasks of the scans."""
+    rows = matrix.select(vector_to_array("features").alias("row"), F.monotonically_increasing_id().alias("place"))
+    return materialize(rows.repartition("place").select("row"), "rows")
+
+
+def _joint_scan(stored: DataFrame, models: dict[int, np.ndarray], budgets: dict[int, float]) -> dict[int, _Scan]:
+    """Per model, its settled rows by cluster and its border rows: one scan and one aggregate for all.
+
+    Beside a row per cluster, a task gives the counts of margins (cluster -1) and its border
+    rows in one array (cluster -2, and its own number, so that they are only gathered). What
+    runs in the tasks names no function of this module, which they then need not import.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            rows = np.stack(batch["row"].to_numpy())
+            rows = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)
+            every = np.arange(len(rows))
             lengths = np.einsum("ij,ij->i", rows, rows)
             for model, centres in models.items():
                 distances = lengths[:, None] - 2 * rows @ centres.T + np.einsum("ij,ij->i", centres, centres)
                 nearest = distances.argmin(axis=1)
-                least = np.maximum(distances[np.arange(len(rows)), nearest], 0)
-                for cluster in np.unique(nearest):
-                    mine = nearest == cluster
-                    had = sums.setdefault((model, int(cluster)), [0, 0.0, np.zeros(rows.shape[1])])
-                    had[0] += int(mine.sum())
-                    had[1] += float(least[mine].sum())
-                    had[2] += rows[mine].sum(axis=0)
-        if sums:
-            names = pd.DataFrame(list(sums), columns=["model", "cluster"])
-            yield names.assign(**{c: [v[i] for v in sums.values()] for i, c in enumerate(("n", "inertia", "total"))})
-
-    parts = matrix.select(vector_to_array("features").alias("row")).mapInPandas(
-        run, "model int, cluster int, n long, inertia double, total array<double>"
-    )
-    found = parts.groupBy("model", "cluster").agg(
+                least = np.maximum(distances[every, nearest], 0)
+                distances[every, nearest] = np.inf
+                margin = np.sqrt(np.maximum(distances.min(axis=1), 0)) - np.sqrt(least)
+                near = (margin <= budgets[model]) & (budgets[model] > 0)
+                settled = np.zeros((len(centres), len(rows)))
+                settled[nearest[~near], every[~near]] = 1
+                told = (
+                    settled.sum(axis=1),
+                    settled @ rows,
+                    np.bincount(np.searchsorted(MARGINS, margin), minlength=len(MARGINS) + 1),
+                    float(least.sum()),
+                )
+                *sums, border = held.get(model, (0, 0, 0, 0, []))
+                held[model] = [*(a + b for a, b in zip(sums, told)), [*border, rows[near]] if near.any() else border]
+        out = []
+        for model, (n, total, margins, inertia, border) in held.items():
+            out.append((model, -1, -1, 0, inertia, margins.astype("float64")))
+            out += [(model, c, -1, int(n[c]), 0.0, total[c]) for c in np.flatnonzero(n).tolist()]
+            if border:
+                some = np.concatenate(border)
+                out.append((model, -2, TaskContext.get().partitionId(), len(some), 0.0, some.ravel()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out)], names=names)
+
+    names = ["model", "cluster", "part", "n", "inertia", "total"]
+    parts = stored.mapInArrow(run, "model long, cluster long, part long, n long, inertia double, total array<double>")
+    found = parts.groupBy("model", "cluster", "part").agg(
         F.sum("n").alias("n"),
         F.sum("inertia").alias("inertia"),
         vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
     )
-    by_model: dict[int, list] = {}
-    for row in found.collect():
-        by_model.setdefault(row["model"], []).append(row)
-    return by_model
+    scans = {
+        model: _Scan(
+            np.zeros(len(c), np.int64), np.zeros(c.shape), np.empty((0, c.shape[1])), np.zeros(len(MARGINS) + 1)
+        )
+        for model, c in models.items()
+    }
+    for batch in found.toArrow().to_batches():
+        model, cluster, _, n, inertia, total = (batch.column(i) for i in range(6))
+        for i in range(batch.num_rows):
+            scan, values, c = scans[model[i].as_py()], np.asarray(total[i].values), cluster[i].as_py()
+            if c == -1:
+                scan.margins, scan.inertia = values, inertia[i].as_py()
+            elif c == -2:
+                scan.border = np.concatenate([scan.border, values.reshape(n[i].as_py(), -1)])
+            else:
+                scan.n[c], scan.total[c] = n[i].as_py(), values
+    return scans
 
 
 def joint_kmeans(
@@ -171,33 +257,49 @@ def joint_kmeans(
 
     Each scan moves the centres of all models that are not done; a model whose centres
     stand still, to ``tolerance``, drops out after its inertia is known. A centre without rows stays.
+
+    The steps are those of scanning all rows each time, but most rows cannot change their
+    cluster while the centres have hardly moved: a row's margin, by which its second centre is
+    farther than its nearest, shrinks by no more than the centres' drift. So a scan sums the rows with
+    a greater margin than a budget and hands over the others, ``BORDER_ROWS`` in all and a
+    quarter of the rows at most; steps are taken on these until the drift has used the budget, and only then the rows are scanned again.
     """
+    stored = _stored_rows(matrix)
     models = {model: np.asarray(centres, dtype="float64") for model, centres in starts.items()}
+    budgets = dict.fromkeys(models, 0.0)
+    steps = dict.fromkeys(models, 0)
     still: set[int] = set()
     found: dict[int, tuple[np.ndarray, float]] = {}
     scans = 0
     while models:
-        totals = _joint_totals(matrix, models)
+        told = _joint_scan(stored, models, budgets)
+        share = BORDER_ROWS // len(models)
         scans += 1
         for model, centres in list(models.items()):
-            rows = totals.get(model, [])
-            if model in still or scans > max_iter:
-                found[model] = centres, float(sum(row["inertia"] for row in rows))
+            scan, at = told[model], centres
+            if model in still or steps[model] >= max_iter:
+                found[model] = centres, scan.inertia
                 del models[model]
                 if model not in still:
                     warnings.warn(f"k-means {model} stopped after {max_iter} iterations", stacklevel=2)
                 continue
-            moved = centres.copy()
-            for row in rows:
-                moved[row["cluster"]] = np.array(row["total"]) / row["n"]
-            if np.abs(moved - centres).max(initial=0) <= tolerance:
-                still.add(model)
-            models[model] = moved
+            while steps[model] < max_iter and model not in still:
+                moved = scan.step(at)
+                pace = _drift(at, moved)
+                steps[model] += 1
+                if np.abs(moved - at).max(initial=0) <= tolerance:
+                    still.add(model)
+                at = moved
+                # short of the budget, as margins are rounded
+                if _drift(centres, at) > 0.9 * budgets[model]:
+                    break
+            budgets[model] = scan.next_budget(share, _drift(centres, at), pace)
+            models[model] = at
     return found, scans
 
 
 def kmeans_elbow(matrix: DataFrame, k_values: Sequence[int] = tuple(range(1, 15)), seed: int = 42) -> DataFrame:
-    """``k, inertia`` per k, all models fitted together: as many scans as the slowest needs."""
+    """``k, inertia`` per k, all models fitted together: no more scans than the slowest needs."""
     require_rows(matrix, max(k_values))
     found, _ = joint_kmeans(matrix, starting_centres(matrix, k_values, seed))
     curve = [(k, found[k][1]) for k in k_values]

@@ -124,6 +124,25 @@ def test_joint_fit_is_a_fixed_point(matrix, points):
         assert np.allclose(points[squared.argmin(1) == i].mean(0), centre, atol=1e-5)
 
 
+def test_joint_fit_takes_the_steps_of_whole_scans_in_fewer_scans(spark):
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(2000, 3))
+    matrix = matrix_of(spark, rows)
+    starts = clustering.starting_centres(matrix, [1, 5], seed=1)
+    found, scans = clustering.joint_kmeans(matrix, starts)
+    taken = []
+    for k, centres in starts.items():
+        moved, before = np.array(centres), None
+        while before is None or np.abs(moved - before).max() > clustering.TOLERANCE:
+            before = moved
+            nearest = ((rows[:, None] - before[None]) ** 2).sum(-1).argmin(1)
+            moved = np.stack([rows[nearest == i].mean(0) for i in range(k)])
+            taken.append(k)
+        assert np.allclose(found[k][0], moved, atol=1e-9)
+        assert found[k][1] == pytest.approx(((rows[:, None] - moved[None]) ** 2).sum(-1).min(1).sum())
+    assert scans < taken.count(5) / 1.5
+
+
 def test_starved_centres_move_into_the_data(matrix, points):
     far = [points[0].tolist(), points[1].tolist(), points[2].tolist(), [1e6] * points.shape[1]]
     centres, weights = clustering.minibatch_step(matrix, far, [0.0] * 4)
