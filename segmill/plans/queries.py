@@ -149,8 +149,10 @@ def split_levels(df: DataFrame) -> DataFrame:
 LEVELS = [*(f"category_code_{i}" for i in range(1, 5)), "category_rest"]
 
 
-def _written_csv(spark: SparkSession, sf_dir: str, path: str | None = None, parts: tuple = s.CSV_PARTS) -> str:
-    """The dirty view as CSV files, a file per part, some rows with an unreadable price.
+def _written_csv(
+    spark: SparkSession, sf_dir: str, path: str | None = None, parts: tuple = s.CSV_PARTS, files: int = 1
+) -> str:
+    """The dirty view as CSV files, at most ``files`` per part, some rows with an unreadable price.
 
     The copies of an event stay in one file, in their order. Returns a pattern for the folders.
     """
@@ -165,7 +167,7 @@ def _written_csv(spark: SparkSession, sf_dir: str, path: str | None = None, part
     )
     (
         rows.where(F.col("part").isin(*parts))
-        .repartition("part")
+        .repartition("part", F.pmod(F.xxhash64("event_time", "user_id", "product_id"), F.lit(files)))
         .sortWithinPartitions("part", "ordinal")
         .select(*RAW_COLUMNS, "part")
         .write.partitionBy("part")
@@ -230,7 +232,7 @@ def _streamed_twice(spark: SparkSession, sf_dir: str) -> str:
     """The table of a stream that keeps the keys it has seen; the second run brings copies and late rows."""
     folder, table, offsets = (scratch_path(spark, n) for n in ("csv", "streamed", "offsets"))
     for i, parts in enumerate((s.FIRST_PARTS, s.LATER_PARTS)):
-        _written_csv(spark, sf_dir, f"{folder}/{i}", parts)
+        _written_csv(spark, sf_dir, f"{folder}/{i}", parts, s.STREAMED_FILES)
         stream_ingest(spark, f"{folder}/*/*", table, offsets, lateness=s.LATENESS).awaitTermination()
     return table
 

@@ -27,4 +27,6 @@ HOT_SLICE_POINTS = 2
 CSV_PARTS = (0, 1, 2, 3)
 FIRST_PARTS = (0, 1)
 LATER_PARTS = (1, 2, 3)
+# Files that a part is dealt to at most where the copies of an event may be in any file.
+STREAMED_FILES = 16
 LATENESS = "10 days"

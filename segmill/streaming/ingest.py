@@ -150,7 +150,6 @@ def _land(spark: SparkSession, paths: list[str], beside: str, batch: int, latene
                 REASON_COLUMN: F.when(late, F.lit(LATE)).otherwise(F.col(REASON_COLUMN)),
             }
         )
-        scanned = materialize(scanned, "scanned")
     good = accepted_rows(scanned)
     replace_batch(good.agg(F.unix_millis(F.max("event_time")).alias("latest_ms")), f"{beside}_seen", batch)
     replace_batch(rejected_rows(scanned), f"{beside}_quarantine", batch)

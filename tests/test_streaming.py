@@ -120,3 +120,22 @@ def test_restart_between_landing_and_storing(spark, tmp_path, monkeypatch):
     assert sorted(r["brand"] for r in read_streamed_events(spark, table).collect()) == ["a", "c"]
     report = spark.read.parquet(f"{table}_report").collect()
     assert {r["source_file"][-5]: r["rows_inserted"] for r in report} == {"a": 1, "b": 1}
+
+
+def test_parts_of_the_streamed_csv_are_written_by_several_tasks(spark, tmp_path):
+    """One task per part would take the longer the more events there are, on any cluster."""
+    from pyspark.sql import functions as F
+
+    from segmill.plans import queries, settings
+    from segmill.sources.csv_events import read_raw
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        queries._written_csv(spark, "/root/testdata/sf0.001", str(tmp_path / "csv"), (0, 1), settings.STREAMED_FILES)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = [str(f) for f in (tmp_path / "csv").glob("*/*.csv")]
+    assert 2 < len(files) <= 2 * settings.STREAMED_FILES
+    rows = read_raw(spark, files)
+    spread = rows.groupBy("event_time", "user_id", "product_id").agg(F.countDistinct("source_file").alias("n"))
+    assert spread.where("n > 1").count() == 0
